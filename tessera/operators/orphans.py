@@ -1,6 +1,6 @@
 """References to records that do not exist, or that come later.
 
-Keys are split into ranges by hash. Within a range the keys are dictionary-encoded as integers; the references of each table and month are one bitmap over these integers, and so are the parents known before and in that month. References AND NOT parents leaves the orphans, whose bits are decoded to keys again. The references of a month in which their parent first appears are the only ones compared by their exact times.
+Keys are split into ranges by hash. Within a range the keys are dictionary-encoded as integers; the references of each table and month are one bitmap over these integers, and so are the parents known before and in that month. References AND NOT parents leaves the orphans, whose bits are decoded to keys again. Only references of months up to the one in which their parent first appears are then compared by their exact times.
 
 A range never holds more than one row per key, table and month, however often one key is referred to, since references are aggregated before they are shuffled by range.
 """
@@ -51,13 +51,8 @@ def _range_orphans(pdf: pd.DataFrame) -> pd.DataFrame:
     ref_codes = codes[is_ref]
     for (table, m), rows in refs.groupby(["ref_table", "month"], sort=False).indices.items():
         wanted = _bitmap(ref_codes[rows], n)
-        if m == _NO_MONTH:
-            before = there
-            at_once = np.zeros_like(there)
-        else:
-            before, at_once = np.packbits(since_month < m), np.packbits(since_month == m)
-        none = _and_not(wanted, before | at_once)
-        maybe = np.flatnonzero(np.unpackbits(wanted & at_once))
+        before = there if m == _NO_MONTH else np.packbits(since_month < m)
+        none, maybe = _and_not(wanted, there), _and_not(wanted & there, before)
         for found, time in ((none, _NONE), (maybe, since)):
             pairs = [words[i].split("\x1f", 1) for i in found.tolist()]
             out["ref_table"].append(np.full(len(found), table, object))
