@@ -64,4 +64,4 @@ def month_of(micros: Column | str) -> Column:
 def month_name(month: Column | str) -> Column:
     """``YYYY-MM`` of :func:`month_of`; null is ``unknown``."""
     c = F.col(month) if isinstance(month, str) else month
-    return F.coalesce(F.format_string("%04d-%02d", F.floor(c / 12).cast("int"), (c % 12 + 1).cast("int")), F.lit("unknown"))
+    return F.when(c.isNull(), "unknown").otherwise(F.format_string("%04d-%02d", F.floor(c / 12).cast("int"), (c % 12 + 1).cast("int")))
