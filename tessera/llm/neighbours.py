@@ -59,6 +59,7 @@ def neighbour_lists(space: Space, k: int, least: float = -1.0) -> DataFrame:
     lists = lists.groupBy("id").agg(best(F.flatten(F.collect_list("near"))).alias("near"))
     if space.followers is None:
         return lists
+    lists = cut(lists, "lists")  # read twice from here on
     # a copy's neighbours are its leader, and its leader's
     own = F.array(F.struct(F.lit(-1.0).alias("far"), F.col("leader").alias("id")))
     other = F.filter(F.coalesce("near", F.array().cast("array<struct<far: double, id: string>>")), lambda n: n["id"] != F.col("follower"))
