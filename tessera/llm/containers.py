@@ -17,6 +17,8 @@ from tessera.storage import cut
 GROUPS = 48
 #: Sizes over this part of the capacity are large.
 LARGE = 1 / 8
+#: Column generation ends when the relaxation is this near to its best value, as its dual bound shows.
+_CLOSE = 1e-3
 #: Items, large and small, for each shard of the last step.
 ITEMS_PER_SHARD = 50_000
 
@@ -67,9 +69,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     basis = np.array(columns, float).T
     inverse = np.linalg.inv(basis)
     x = inverse @ d
-    for k in range(rounds):
+    for _ in range(rounds):
         value, pattern = _best_pattern(s, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + _CLOSE:
             break
         step = inverse @ pattern
         ratios = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
