@@ -88,7 +88,7 @@ def close_pairs(vectors: DataFrame, k: int = 5, least: float = 0.97) -> DataFram
 def _scan(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of a part to each query that came with it."""
     asked = pdf["asked"].to_numpy()
-    queries, rows = pdf[asked].drop_duplicates("id"), pdf[~asked].drop_duplicates("id")
+    queries, rows = pdf[asked].drop_duplicates("id"), pdf[~asked].drop_duplicates("id").sort_values("id")
     if not len(queries) or not len(rows):
         return pd.DataFrame({"id": [], "neighbour_id": [], "cosine": []}, dtype=object)
     dim = int(pdf["dim"].iloc[0])
@@ -98,8 +98,11 @@ def _scan(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     for a in range(0, len(q), 256):
         s = np.round(q[a : a + 256] @ x.T, 6)
         s[qid[a : a + 256][:, None] == ids[None, :]] = -2
-        top = np.argpartition(-s, min(k, len(ids)) - 1, 1)[:, :k]
+        some = min(k + _SPARE, len(ids))
+        top = np.argpartition(-s, some - 1, 1)[:, :some]
         best = np.take_along_axis(s, top, 1)
+        order = np.lexsort((top, -best), axis=1)[:, :k]
+        top, best = np.take_along_axis(top, order, 1), np.take_along_axis(best, order, 1)
         for c, v in (("id", np.repeat(qid[a : a + 256], top.shape[1])), ("neighbour_id", ids[top].ravel()), ("cosine", best.ravel())):
             found[c].append(v[best.ravel() > -2])
     return pd.DataFrame({c: np.concatenate(v) for c, v in found.items()})
@@ -112,7 +115,7 @@ _PART_ROWS = 20_000
 def recall(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """How much of the exact answer :func:`nearest` finds: band of the exact cosine, wanted, found and recall (null if nothing is wanted).
 
-    The queries are the ids whose hash every divides; each is compared with all vectors of its dim, which are divided into parts, and the queries, 1 / every of the rows, into blocks. A neighbour counts as wanted if it is among the k nearest or ties with the last of them.
+    The queries are the ids whose hash every divides; each is compared with all vectors of its dim, which are divided into parts, and the queries, 1 / every of the rows, into blocks. Ties go to the smaller id, as in the lists.
     """
     space = prepare(vectors, CELL_ROWS, COPIES, MARGIN, keep=k + 1)
     rows = cut(space.rows.select("id", "dim", "vec").dropDuplicates(["id"]), "rows")
@@ -123,8 +126,8 @@ def recall(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     stored = rows.withColumns({"asked": F.lit(False), "part": F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts)), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
     asked = rows.where(is_query).withColumns({"asked": F.lit(True), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))), "block": block})
     exact = stored.unionByName(asked).groupBy("dim", "part", "block").applyInPandas(lambda pdf: _scan(pdf, k), "id string, neighbour_id string, cosine double")
-    by = Window.partitionBy("id").orderBy(F.desc("cosine"))
-    exact = exact.withColumn("rank", F.rank().over(by)).where(F.col("rank") <= k).select("id", "neighbour_id", F.col("cosine").alias("exact"))
+    by = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id")
+    exact = exact.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("id", "neighbour_id", F.col("cosine").alias("exact"))
     lists = neighbour_lists(space, k).select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("neighbour_id"), F.lit(1).alias("hit"))
     band = F.when(F.col("exact") >= 0.97, "0.97 to 1").when(F.col("exact") >= 0.8, "0.80 to 0.97").otherwise("below 0.80")
     both = exact.join(lists, ["id", "neighbour_id"], "left").groupBy(band.alias("band"))
