@@ -16,49 +16,60 @@ BEAM = 32
 #: Vertices that a search expands at once.
 _WIDTH = 4
 _BLOCK = 256
+#: Queries whose search advances together, so that what it works on stays in the cache.
+_AT_ONCE = 128
 
 
 def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The beam vertices nearest to each row of q that a best-first search from start (a row of vertices each, -1: none) finds: vertices (-1: none) and similarities, nearest first."""
+    parts = [_search(x, links, q[a : a + _AT_ONCE], start[a : a + _AT_ONCE], beam) for a in range(0, len(q), _AT_ONCE)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     b, n = len(q), len(links)
-    seen = np.zeros((b, n + 1), np.int16)  # the last column takes what isn't there
+    seen = np.zeros(b * (n + 1), np.int16)  # by query and vertex; a query's last place takes what isn't there
+    seen[n :: n + 1] = 1
     ids = np.full((b, beam), -1, np.int32)
     sims = np.full((b, beam), -np.inf, np.float32)
     done = np.ones((b, beam), bool)
     live = np.arange(b)
-    fresh, mark = start.astype(np.int32), 1
+    fresh = start
+    width = min(_WIDTH, beam)
     while True:
-        col = np.arange(fresh.shape[1], dtype=np.int16)
-        r = live[:, None]
-        new = (seen[r, fresh] == 0) & (fresh >= 0)
-        seen[r, fresh] = np.where(new, col + 1, 1)
-        new &= seen[r, fresh] == col + 1
-        rows, cols = np.nonzero(new)
+        fresh = np.where(fresh < 0, n, fresh)
+        at = live[:, None] * (n + 1) + fresh
+        rows, cols = np.nonzero(seen[at] == 0)
+        at = at[rows, cols]
+        seen[at] = cols + 2
+        once = seen[at] == cols + 2  # of a vertex that came twice in a row, the last
+        rows, cols = rows[once], cols[once]
         v = fresh[rows, cols]
-        s = np.full(fresh.shape, -np.inf, np.float32)
-        s[rows, cols] = np.einsum("ij,ij->i", x[v], q[live[rows]])
-        all_s = np.concatenate([sims[live], s], 1)
-        all_i = np.concatenate([ids[live], np.where(new, fresh, -1)], 1)
-        all_d = np.concatenate([done[live], ~new], 1)
+        new_s = np.full(fresh.shape, -np.inf, np.float32)
+        new_s[rows, cols] = np.einsum("ij,ij->i", x[v], q[live[rows]])
+        new_i = np.full(fresh.shape, -1, np.int32)
+        new_i[rows, cols] = v
+        all_s, all_i = np.concatenate([sims[live], new_s], 1), np.concatenate([ids[live], new_i], 1)
+        all_d = np.concatenate([done[live], new_i < 0], 1)
         top = np.argpartition(-all_s, beam - 1, 1)[:, :beam]
-        sims[live], ids[live], done[live] = (np.take_along_axis(a, top, 1) for a in (all_s, all_i, all_d))
-        open_s = np.where(done[live], -np.inf, sims[live])
-        width = min(_WIDTH, beam)
-        pick = np.argpartition(-open_s, width - 1, 1)[:, :width] if width < beam else np.tile(np.arange(beam), (len(live), 1))
+        s, i, d = (np.take_along_axis(c, top, 1) for c in (all_s, all_i, all_d))
+        sims[live], ids[live] = s, i
+        open_s = np.where(d, -np.inf, s)
+        pick = np.argpartition(-open_s, width - 1, 1)[:, :width]
         good = np.take_along_axis(open_s, pick, 1) > -np.inf
+        np.put_along_axis(d, pick, True, 1)
+        done[live] = d
         go = good.any(1)
-        live, pick, good = live[go], pick[go], good[go]
-        if not len(live):
+        if not go.any():
             break
-        at = np.where(good, ids[live[:, None], pick], -1)
-        done[live[:, None], pick] = True
-        fresh = np.where((at >= 0)[:, :, None], links[at], -1).reshape(len(live), -1)
-        mark += 1
+        live = live[go]
+        expand = np.where(good[go], np.take_along_axis(i[go], pick[go], 1), -1)
+        fresh = np.where((expand >= 0)[:, :, None], links[expand], -1).reshape(len(live), -1)
     order = np.argsort(-sims, 1, kind="stable")
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
-def _spread(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int) -> np.ndarray:
+def _spread(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row's candidates (nearest first, -1: none) up to links that are nearer to the row's vertex than to one kept before; what is left free goes to the nearest of the others."""
     b, c = ids.shape
     vec = x[ids]
@@ -73,15 +84,18 @@ def _spread(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int) -> np.
         closest[ok] = np.maximum(closest[ok], between[ok, j])
     rank = np.where(kept, 0, np.where(ids >= 0, 1, 2)) * c + np.arange(c)
     order = np.argsort(rank, 1)[:, :links]
-    return np.take_along_axis(ids, order, 1)
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
 @dataclass
 class Layer:
-    """vertices: of the shard, in the order of insertion; links: flat neighbour array, by place in vertices, -1: none."""
+    """vertices: of the shard, in the order of insertion; x: their vectors; place: of each vertex of the shard in vertices (-1: not there; last: -1); links: flat neighbour array, by place, -1: none; near: the links' similarities."""
 
     vertices: np.ndarray
+    x: np.ndarray
+    place: np.ndarray
     links: np.ndarray
+    near: np.ndarray
 
 
 class Graph:
@@ -98,26 +112,22 @@ class Graph:
         for top in range(int(level.max(initial=0)), -1, -1):
             self._insert(order[level[order] >= top])
 
-    def _entry(self, q: np.ndarray) -> np.ndarray:
-        """Vertices near each row of q, found by descending from the top through the layers that are there."""
-        if not self.layers:
+    def _entry(self, q: np.ndarray, layers: list[Layer]) -> np.ndarray:
+        """Vertices near each row of q, found by descending from the top through layers."""
+        if not layers:
             return np.full((len(q), 1), -1)
-        at = np.zeros((len(q), 1), int)
-        for k, layer in enumerate(self.layers):
-            found, _ = search(self.x[layer.vertices], layer.links, q, at, 4)
+        best = np.repeat(layers[0].vertices[:1][None, :], len(q), 0)
+        for layer in layers:
+            found, _ = search(layer.x, layer.links, q, layer.place[best], 4)
             best = np.where(found >= 0, layer.vertices[found], -1)
-            if k + 1 < len(self.layers):
-                place = np.full(len(self.x) + 1, -1)
-                place[self.layers[k + 1].vertices] = np.arange(len(self.layers[k + 1].vertices))
-                at = place[best]
         return best
 
     def _insert(self, vertices: np.ndarray) -> None:
         x = self.x[vertices]
         n, most = len(vertices), 2 * self.links
-        links = np.full((n, most), -1, np.int32)
         place = np.full(len(self.x) + 1, -1)
         place[vertices] = np.arange(n)
+        layer = Layer(vertices, x, place, np.full((n, most), -1, np.int32), np.full((n, most), -np.inf, np.float32))
         a = 0
         while a < n:
             b = min(n, max(2 * a, 256), a + _BLOCK)
@@ -128,51 +138,58 @@ class Graph:
             near = np.argpartition(-own, m - 1, 1)[:, :m] if m else np.zeros((b - a, 0), int)
             ids, sims = (near + a).astype(np.int32), np.take_along_axis(own, near, 1)
             if a:
-                start = place[self._entry(q)]
+                start = place[self._entry(q, self.layers)]
                 start = np.where(start < a, start, -1)
                 start = np.concatenate([start, np.zeros((b - a, 1), int)], 1)
-                old, old_s = search(x, links[:a], q, start, self.beam)
+                old, old_s = search(x, layer.links[:a], q, start, self.beam)
                 ids, sims = np.concatenate([ids, old], 1), np.concatenate([sims, old_s], 1)
             order = np.argsort(-sims, 1, kind="stable")[:, : 2 * self.links]
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-            got = _spread(x, ids, sims, self.links)
-            links[a:b, : got.shape[1]] = got
-            self._link_back(x, links, a, got)
+            got, got_s = _spread(x, ids, sims, self.links)
+            layer.links[a:b, : got.shape[1]], layer.near[a:b, : got.shape[1]] = got, got_s
+            self._link_back(layer, a, got, got_s)
             a = b
-        self.layers.append(Layer(vertices, links))
+        self.layers.append(layer)
 
-    def _link_back(self, x: np.ndarray, links: np.ndarray, a: int, got: np.ndarray) -> None:
+    def _link_back(self, layer: Layer, a: int, got: np.ndarray, got_s: np.ndarray) -> None:
         """Links from the vertices in got to those, from a on, that chose them; a vertex with too many keeps a spread of the nearest."""
+        links, most = layer.links, layer.links.shape[1]
         rows, cols = np.nonzero(got >= 0)
-        to, new = got[rows, cols].astype(np.int64), rows + a
+        to, new, near = got[rows, cols].astype(np.int64), rows + a, got_s[rows, cols]
         known = (links[to] == new[:, None]).any(1)
-        to, new = to[~known], new[~known]
+        to, new, near = to[~known], new[~known], near[~known]
         if not len(to):
             return
-        near = np.einsum("ij,ij->i", x[to], x[new])
         order = np.lexsort((-near, to))
-        to, new = to[order], new[order]
+        to, new, near = to[order], new[order], near[order]
         first = np.flatnonzero(np.diff(to, prepend=-1))
         rank = np.arange(len(to)) - np.repeat(first, np.diff(np.append(first, len(to))))
-        few = rank < links.shape[1]  # of more than twice the links the nearest do
-        to, new, rank = to[few], new[few], rank[few]
+        few = rank < most  # of more than twice the links the nearest do
+        to, new, near, rank = to[few], new[few], near[few], rank[few]
         targets, where = np.unique(to, return_inverse=True)
-        added = np.full((len(targets), int(rank.max()) + 1), -1, np.int64)
-        added[where, rank] = new
-        for c in range(0, len(targets), 2 * _BLOCK):
-            t = targets[c : c + 2 * _BLOCK]
-            ids = np.concatenate([links[t], added[c : c + 2 * _BLOCK]], 1)
-            sims = np.where(ids >= 0, np.einsum("ijk,ik->ij", x[ids], x[t]), -np.inf)
+        have = (links[targets] >= 0).sum(1)
+        full = have + np.bincount(where) > most
+        free = ~full[where]
+        at = have[where[free]] + rank[free]
+        links[to[free], at], layer.near[to[free], at] = new[free], near[free]
+        crowded = np.flatnonzero(full)
+        if not len(crowded):
+            return
+        added, added_s = np.full((len(targets), int(rank.max()) + 1), -1, np.int32), np.full((len(targets), int(rank.max()) + 1), -np.inf, np.float32)
+        added[where, rank], added_s[where, rank] = new, near
+        for c in range(0, len(crowded), _BLOCK):
+            some = crowded[c : c + _BLOCK]
+            t = targets[some]
+            ids, sims = np.concatenate([links[t], added[some]], 1), np.concatenate([layer.near[t], added_s[some]], 1)
             order = np.argsort(-sims, 1, kind="stable")
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
             width = int((ids >= 0).sum(1).max())
-            links[t] = _pad(_spread(x, ids[:, :width], sims[:, :width], links.shape[1]) if width > links.shape[1] else ids[:, :width], links.shape[1])
+            links[t], layer.near[t] = _spread(layer.x, ids[:, :width], sims[:, :width], most)
 
     def neighbours(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For every row of x the rows that a search from itself, its neighbours and the upper layers finds, but itself: at least k of them if there are so many (-1: none), nearest first."""
         base = self.layers[-1]
-        n = len(base.vertices)
-        x = self.x[base.vertices]
+        n, x = len(base.vertices), base.x
         beam = max(self.beam, k + 2)
         out_i, out_s = np.full((n, beam), -1), np.full((n, beam), -np.inf, np.float32)
         for a in range(0, n, _BLOCK):
@@ -185,8 +202,13 @@ class Graph:
             out_i[base.vertices[me]], out_s[base.vertices[me]] = np.where(ids >= 0, base.vertices[ids], -1), sims
         return out_i, out_s
 
-
-def _pad(a: np.ndarray, width: int) -> np.ndarray:
-    out = np.full((len(a), width), -1, a.dtype)
-    out[:, : a.shape[1]] = a
-    return out
+    def nearest(self, q: np.ndarray, k: int) -> np.ndarray:
+        """For each row of q (unit vectors) the rows of x that a search from the upper layers finds: at least k if there are so many (-1: none), nearest first."""
+        base = self.layers[-1]
+        beam = max(self.beam, k)
+        out = np.full((len(q), beam), -1)
+        for a in range(0, len(q), _BLOCK):
+            some = np.ascontiguousarray(q[a : a + _BLOCK], np.float32)
+            ids, _ = search(base.x, base.links, some, base.place[self._entry(some, self.layers[:-1])] if len(self.layers) > 1 else np.zeros((len(some), 1), int), beam)
+            out[a : a + _BLOCK] = np.where(ids >= 0, base.vertices[ids], -1)
+        return out
