@@ -1,6 +1,9 @@
 """Problem 6: the most similar vectors of every vector.
 
-Vectors go to the cell of their nearest pivot and, near its border, to a second one. Each cell is a shard with a hierarchical navigable small-world graph of its own, in which all its vectors are searched for; the shards' lists of a vector are merged.
+Each cell of a pivot is a shard with a hierarchical navigable small-world graph of its own; the shards' lists of a vector are merged. There are two ways to send vectors to cells:
+
+* For close neighbours only (a cosine of NEAR or more), vectors are stored in the cell of their nearest pivot and, near its border, in a second one, and searched for where they are stored. Cells are small.
+* For all neighbours, vectors are stored in one large cell and searched for in that and the next nearest ones, since neighbours that are not close lie in all directions.
 """
 
 from __future__ import annotations
@@ -11,13 +14,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.hnsw import Graph
-from tessera.llm.vectors import Space, decode, prepare, route, unit
+from tessera.llm.vectors import Space, decode, prepare, route, route_asking, unit
 from tessera.storage import cut
 
 #: Vectors that share a home cell, about.
 CELL_ROWS = 4096
 #: Cells of a vector at most, and by how much another pivot's cosine may be lower than the nearest one's.
 COPIES, MARGIN = 2, 0.1
+#: The least cosine from which on only close neighbours are looked for.
+NEAR = 0.95
+#: Vectors stored in a cell, about, and cells that a vector is searched for in, if all neighbours are wanted.
+STORED_ROWS, PROBES = 32_768, 8
+#: Vectors searched for in one task, about; a cell that is asked for more has several tasks.
+ASKING_ROWS = 524_288
+#: Vertices that a search of a stranger keeps in view.
+_WIDE_BEAM = 40
 #: Neighbours looked at beyond those wanted, so that ties go to the smaller id.
 _SPARE = 8
 
@@ -42,18 +53,52 @@ def _shard(key: tuple, pdf: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
     x = unit(decode(pdf["vec"].tolist(), int(key[0])))
     near, cos = shard_neighbours(ids, x, k)
     good = (near >= 0) & (cos >= least)
+    return _listed(ids, ids, near, cos, good)
+
+
+def _listed(asking: np.ndarray, ids: np.ndarray, near: np.ndarray, cos: np.ndarray, good: np.ndarray) -> pd.DataFrame:
     rows = np.flatnonzero(good.any(1))
     lists = [[{"far": -c, "id": i} for c, i in zip(cos[r][good[r]].tolist(), ids[near[r][good[r]]].tolist(), strict=True)] for r in rows]
-    return pd.DataFrame({"id": ids[rows], "near": pd.Series(lists, dtype=object)})
+    return pd.DataFrame({"id": asking[rows], "near": pd.Series(lists, dtype=object)})
+
+
+def _ask_shard(key: tuple, pdf: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
+    """The k nearest stored rows of a task to each asking one, itself left out."""
+    stored = pdf[pdf["stored"]].drop_duplicates("id").sort_values("id", ignore_index=True)
+    asking = pdf[pdf["asking"]].drop_duplicates("id")
+    if not len(stored) or not len(asking):
+        return pd.DataFrame({"id": [], "near": []}, dtype=object)
+    dim = int(key[0])
+    ids, qids = stored["id"].to_numpy(), asking["id"].to_numpy()
+    x = unit(decode(stored["vec"].tolist(), dim))
+    graph = Graph(x)
+    vecs, out = asking["vec"].to_numpy(), []
+    for a in range(0, len(qids), 4096):
+        q, qid = unit(decode(vecs[a : a + 4096].tolist(), dim)), qids[a : a + 4096]
+        near = graph.nearest(q, _WIDE_BEAM)[:, : k + 1 + _SPARE]
+        cos = np.full(near.shape, -np.inf)
+        for b in range(0, len(q), 1024):
+            some = near[b : b + 1024]
+            cos[b : b + 1024] = np.where((some >= 0) & (ids[some] != qid[b : b + 1024, None]), np.round(np.einsum("ijk,ik->ij", x[some], q[b : b + 1024]), 6), -np.inf)
+        order = np.lexsort((near, -cos), axis=1)[:, :k]
+        near, cos = np.take_along_axis(near, order, 1), np.take_along_axis(cos, order, 1)
+        out.append(_listed(qid, ids, near, cos, cos >= least))
+    return pd.concat(out, ignore_index=True)
 
 
 _LISTS = "id string, near array<struct<far: double, id: string>>"
 
 
+def _prepared(vectors: DataFrame, k: int, least: float) -> Space:
+    return prepare(vectors, CELL_ROWS, COPIES, MARGIN, keep=k + 1) if least >= NEAR else prepare(vectors, STORED_ROWS, 1, 0.0, keep=k + 1)
+
+
 def neighbour_lists(space: Space, k: int, least: float = -1.0) -> DataFrame:
-    """id and near (far: the cosine with its sign turned, id), nearest first, of the k nearest others of each vector of space that have a cosine of least or more; ids without one are left out."""
-    routed = route(space, COPIES, MARGIN)
-    lists = routed.groupBy("dim", "task").applyInPandas(lambda key, pdf: _shard(key, pdf, k, least), _LISTS)
+    """id and near (far: the cosine with its sign turned, id), nearest first, of the k nearest others of each vector of space (as _prepared() makes it for the same k and least) that have a cosine of least or more; ids without one are left out."""
+    if least >= NEAR:
+        lists = route(space, COPIES, MARGIN).groupBy("dim", "task").applyInPandas(lambda key, pdf: _shard(key, pdf, k, least), _LISTS)
+    else:
+        lists = route_asking(space, PROBES, ASKING_ROWS).groupBy("dim", "task", "part").applyInPandas(lambda key, pdf: _ask_shard(key, pdf, k, least), _LISTS)
     best = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
     # a vector is in few tasks, each with k neighbours at most
     lists = lists.groupBy("id").agg(best(F.flatten(F.collect_list("near"))).alias("near"))
@@ -70,10 +115,9 @@ def neighbour_lists(space: Space, k: int, least: float = -1.0) -> DataFrame:
 def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0) -> DataFrame:
     """id, neighbour_id, cosine (rounded to 6 decimals) and rank of the k vectors most similar to each usable vector of vectors (memory_id, embedding, dim), among those of its dim.
 
-    Usable vectors, and what is done about repeated ids, are as in :func:`tessera.llm.vectors.prepare`. Ties go to the smaller id. least: only neighbours with this cosine or more. The lists are those an approximate index finds: neighbours that are near in terms of the table's dense regions are found nearly always; of far ones, which lie in all directions, many may be missed (see the README for the measured recall). A vector alone in its dim has no row; an empty table gives an empty result; other columns are ignored.
+    Usable vectors, and what is done about repeated ids, are as in :func:`tessera.llm.vectors.prepare`. Ties go to the smaller id. least: only neighbours with this cosine or more. The lists are those an approximate index finds: of neighbours that are far from each other, which lie in all directions, some are missed (see the README for the measured recall). A vector alone in its dim has no row; an empty table gives an empty result; other columns are ignored.
     """
-    space = prepare(vectors, CELL_ROWS, COPIES, MARGIN, keep=k + 1)
-    lists = neighbour_lists(space, k, least)
+    lists = neighbour_lists(_prepared(vectors, k, least), k, least)
     out = lists.select("id", F.posexplode("near").alias("pos", "n"))
     return out.select("id", F.col("n.id").alias("neighbour_id"), (-F.col("n.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
@@ -117,7 +161,7 @@ def recall(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     The queries are the ids whose hash every divides; each is compared with all vectors of its dim, which are divided into parts, and the queries, 1 / every of the rows, into blocks. Ties go to the smaller id, as in the lists.
     """
-    space = prepare(vectors, CELL_ROWS, COPIES, MARGIN, keep=k + 1)
+    space = _prepared(vectors, k, -1.0)
     rows = cut(space.rows.select("id", "dim", "vec").dropDuplicates(["id"]), "rows")
     n = rows.count()
     parts, blocks = max(1, n // _PART_ROWS), max(1, n // every // 4096)

@@ -6,7 +6,7 @@ A vector of decimals, as most stored embeddings are, is encoded as its exponent
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -118,11 +118,13 @@ class Space:
 
 @dataclass
 class Cells:
-    """pivots: unit vectors, the centres of cells; blocks: into how many blocks each cell's rows are divided, each pair of which is a task."""
+    """pivots: unit vectors, the centres of cells; blocks: into how many blocks each cell's rows are divided, each pair of which is a task; sample: unit vectors, each of which stands for scale rows."""
 
     pivots: np.ndarray
     blocks: np.ndarray
     first_task: np.ndarray
+    sample: np.ndarray
+    scale: float
 
 
 def _nearest(x: np.ndarray, pivots: np.ndarray, copies: int, margin: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -151,7 +153,7 @@ def cells_of(sample: np.ndarray, n: int, cell_rows: int, copies: int, margin: fl
     rows = counts * n / len(sample)
     blocks = np.maximum(1, np.ceil(rows / (2 * copies * cell_rows))).astype(int)
     tasks = blocks * (blocks + 1) // 2
-    return Cells(pivots, blocks, np.concatenate([[0], np.cumsum(tasks)[:-1]]))
+    return Cells(pivots, blocks, np.concatenate([[0], np.cumsum(tasks)[:-1]]), unit(sample).astype(np.float32), n / len(sample))
 
 
 def _firsts(batches: Iterator[pd.DataFrame], keep: int) -> Iterator[pd.DataFrame]:
@@ -232,4 +234,36 @@ def _route(batches: Iterator[pa.RecordBatch], cells: dict[int, Cells], copies: i
 
 def route(space: Space, copies: int, margin: float) -> DataFrame:
     """dim, task, home, id, vec: each row in the tasks of its nearest cell and of up to copies - 1 others within the margin; home in one of them."""
-    return space.rows.mapInArrow(partial(_route, cells=space.cells, copies=copies, margin=margin), "dim int, task int, home boolean, id string, vec binary")
+    return space.rows.mapInArrow(partial(_route, cells={dim: replace(c, sample=c.sample[:0]) for dim, c in space.cells.items()}, copies=copies, margin=margin), "dim int, task int, home boolean, id string, vec binary")
+
+
+def _route_asking(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple], probes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == dim)
+            rows = batch.take(pa.array(own))
+            x = unit(decode(rows.column("vec").to_pylist(), dim))
+            h = rows.column("h").to_numpy()
+            pivots, blocks, first_task, parts = cells[dim]
+            for i, (at, cell) in enumerate(_nearest(x, pivots, probes, 2.0)):
+                block, part = (h[at] >> 7) % blocks[cell], (h[at] >> 17) % parts[cell]
+                for b in range(int(blocks[cell].max(initial=1))):
+                    for p in range(int(parts[cell].max(initial=1))):
+                        stored, asking = (block == b) & (i == 0), part == p
+                        some = np.flatnonzero((blocks[cell] > b) & (parts[cell] > p) & (stored | asking))
+                        take = pa.array(at[some])
+                        columns = [np.full(len(some), dim, np.int32), (first_task[cell[some]] + b).astype(np.int32), np.full(len(some), p, np.int32), stored[some], asking[some]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), rows.column("id").take(take), rows.column("vec").take(take)], ["dim", "task", "part", "stored", "asking", "id", "vec"])
+
+
+def route_asking(space: Space, probes: int, asking_rows: int) -> DataFrame:
+    """dim, task, part, stored, asking, id, vec: each row is stored in its nearest cell (in one of the cell's blocks, in all parts of it), and asks in all blocks of the probes nearest cells, in one part of each. The sample tells how many parts keep those that ask in a task to about asking_rows."""
+    cells = {}
+    for dim, c in space.cells.items():
+        counts = np.zeros(len(c.pivots))
+        for a in range(0, len(c.sample), 1024):
+            for _, cell in _nearest(c.sample[a : a + 1024], c.pivots, probes, 2.0):
+                counts += np.bincount(cell, minlength=len(c.pivots))
+        cells[dim] = (c.pivots, c.blocks, c.first_task, np.maximum(1, np.ceil(counts * c.scale / asking_rows)).astype(int))
+    return space.rows.mapInArrow(partial(_route_asking, cells=cells, probes=probes), "dim int, task int, part int, stored boolean, asking boolean, id string, vec binary")

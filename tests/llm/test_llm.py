@@ -169,6 +169,8 @@ def brute(data, keep=None):
 def test_neighbours_against_brute_force(spark, monkeypatch):
     # small cells; vectors with more copies than neighbours, a fifth of all rows; repeated rows
     monkeypatch.setattr(neighbours, "CELL_ROWS", 150)
+    monkeypatch.setattr(neighbours, "STORED_ROWS", 150)
+    monkeypatch.setattr(neighbours, "ASKING_ROWS", 200)
     data = made_vectors()
     data += [(f"copy{i:03d}", data[0][1], 16) for i in range(90)] + data[:20] + [(" M00003 ", data[3][1], 16)] + DIRTY
     df = spark.createDataFrame(data, VECTORS).withColumn("id", F.lit("clash")).withColumn("h", F.lit(1)).withColumn("vec", F.lit(0))
@@ -198,6 +200,8 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
 
 def test_recall_report(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 150)
+    monkeypatch.setattr(neighbours, "STORED_ROWS", 150)
+    monkeypatch.setattr(neighbours, "ASKING_ROWS", 200)
     df = spark.createDataFrame(made_vectors() + DIRTY, VECTORS)
     out = {r["band"]: r for r in neighbours.recall(df, every=3).collect()}
     assert sum(r["wanted"] for r in out.values()) >= 5 * 100
