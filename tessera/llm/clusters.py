@@ -137,7 +137,7 @@ def mutual_clusters(vectors: DataFrame, ids: DataFrame | None = None, radius: fl
 
 
 def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = unit(decode(pdf["vec"].tolist(), int(pdf["dim"].iloc[0]))).sum(0)
+    x = pdf["weight"].to_numpy() @ unit(decode(pdf["vec"].tolist(), int(pdf["dim"].iloc[0])))
     return pd.DataFrame({"cluster": pdf["cluster"].head(1).to_numpy(), "total": [x.tolist()]})
 
 
@@ -159,11 +159,16 @@ def _typical(batches: Iterator[pd.DataFrame], top: int) -> Iterator[pd.DataFrame
 def typical_clusters(vectors: DataFrame, ids: DataFrame | None = None, radius: float = 0.8, min_points: int = 6, min_size: int = 6, top: int = 3) -> DataFrame:
     """cluster_id (its smallest id), size and typical (the top most typical members, most typical first) of each density cluster: core points have min_points - 1 others within the radius.
 
-    A cluster of any size is added up in blocks; of every batch of members only its most typical ones go on. Ties go to the smaller id. Vectors and ids are as in :func:`mutual_clusters`; copies beyond the first min_points of one vector count in size and belong to the cluster, but only the first are candidates for typical members.
+    A cluster of any size is added up in blocks; of every batch of members only its most typical ones go on. Ties go to the smaller id. Vectors and ids are as in :func:`mutual_clusters`; copies beyond the first min_points of one vector count in size and belong to the cluster, but only the first are candidates for typical members; their first one stands for them in the cluster's sum.
     """
     space = prepare(vectors, CELL_ROWS, COPIES, MARGIN, keep=max(min_points, min_size), ids=ids)
     members, clusters = density_clusters(space, radius, min_points, min_size)
-    rows = cut(members.join(clusters.select("cluster", "size"), "cluster").join(space.rows.select("id", "dim", "vec").dropDuplicates(["id"]), "id"), "cluster_rows")
+    rows = members.join(clusters.select("cluster", "size"), "cluster").join(space.rows.select("id", "dim", "vec").dropDuplicates(["id"]), "id")
+    weight = F.lit(1.0)
+    if space.followers is not None:
+        rows = rows.join(space.followers.groupBy(F.col("leader").alias("id")).agg(F.count_distinct("id").alias("more")), "id", "left")
+        weight = 1.0 + F.coalesce("more", F.lit(0))
+    rows = cut(rows.select("cluster", "size", "id", "dim", "vec", weight.alias("weight")), "cluster_rows")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK_ROWS))
     sums = rows.withColumn("block", block).groupBy("cluster", "block").applyInPandas(_sums, "cluster long, total array<double>").groupBy("cluster").applyInPandas(_add, "cluster long, total array<double>")
     best = rows.join(sums, "cluster").mapInPandas(partial(_typical, top=top), "cluster long, id string, typical double")

@@ -256,6 +256,18 @@ def test_typical_members(spark, monkeypatch):
             assert r["size"] == len(own) and r["typical"] == [ids[own[j]] for j in np.argsort(-score.round(6), kind="stable")[:2]]
 
 
+def test_typical_members_with_many_copies(spark):
+    # 60 copies of a vector at the edge of a cluster count 60 times
+    u, v = np.linalg.qr(np.random.default_rng(3).normal(size=(16, 2)))[0].T
+    at = [(f"a{k:02d}", a) for k, a in enumerate(np.linspace(0, 0.5, 17))] + [(f"copy{k:02d}", 0.5) for k in range(60)]
+    data = [(i, (np.cos(a) * u + np.sin(a) * v).round(4).tolist(), 16) for i, a in at]
+    x = vec.unit(np.array([v for _, v, _ in data]))
+    score = (x @ x.sum(0) / len(x)).round(6)
+    got = clusters.typical_clusters(spark.createDataFrame(data, VECTORS), top=3).collect()
+    assert [(r["cluster_id"], r["size"]) for r in got] == [("a00", 77)]
+    assert got[0]["typical"] == [data[j][0] for j in np.argsort(-score, kind="stable")[:3]]
+
+
 # --- problems 7 to 9
 
 TEXTS = [None, "", "   ", "one", "a-b c_d é1 ..!", "x" * 5000, "日本 語。次", " ".join(f"w{i}" for i in range(3000)), "Ab. Cd! Ef?\n\nGh: ij\r\nkl " * 200, "— –", "a b", "tab\tand\x0bvt \x1c fs"]
