@@ -1,6 +1,6 @@
 """Problem 4: dense groups of similar vectors, with their size and most typical members.
 
-Vectors go to the cells of their nearest pivots, with copies in others near their borders. Within each task density clusters are found; clusters of different tasks that share a core point are one. The most typical members (medoids) are those with the highest mean cosine to all members, which is their cosine with the sum of the members' unit vectors.
+Vectors go to the cells of their nearest pivots, with copies in others near their borders. Within each task density clusters are found; what is near a point is added up over its tasks, so it is a core point wherever its neighbours are; clusters of different tasks that share a core point are one. The most typical members (medoids) are those with the highest mean cosine to all members, which is their cosine with the sum of the members' unit vectors.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ def similar(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
     return out
 
 
-def local_clusters(x: np.ndarray, radius: float, min_points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of x: the smallest row of its cluster (-1: none), whether it is a core point, and how many others are similar to it."""
+def local_clusters(x: np.ndarray, radius: float, min_points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Of each row of x: the smallest row of its cluster (-1: none), whether it is a core point, and how many others are similar to it; and the rows similar to each of those that have some but are no core points."""
     n = len(x)
     near = np.empty((n, -(-n // 8)), np.uint8)
     others = np.empty(n, int)
@@ -54,36 +54,66 @@ def local_clusters(x: np.ndarray, radius: float, min_points: int) -> tuple[np.nd
         least = min(label[i], found.min()) if len(found) else label[i]
         if label[i] != least or (found != least).any():
             label[np.isin(label, np.append(found, label[i]))] = least
-    for i in np.flatnonzero(~core & (others > 0)):
-        around = row(i)
+    few = {}
+    for i in np.flatnonzero(~core & (others > 0)).tolist():
+        few[i] = around = row(i)
         if (at := around[core[around]]).size:
             label[i] = label[at].min()
-    return label, core, others
+    return label, core, others, few
 
 
 def _task(key: tuple, pdf: pd.DataFrame, radius: float, min_points: int) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
-    label, core, others = local_clusters(unit(decode(pdf["vec"].tolist(), int(key[0]))), radius, min_points)
+    label, core, others, few = local_clusters(unit(decode(pdf["vec"].tolist(), int(key[0]))), radius, min_points)
     rows = np.flatnonzero(label >= 0)
     size = np.bincount(label[rows], minlength=len(pdf))
     least = np.full(len(pdf), len(pdf))
     np.minimum.at(least, label[rows], others[rows])
-    own = label[rows]
     base = (int(key[0]) << 44) + (int(key[1]) << 22)
-    return pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "label": base + own, "core": core[rows], "size": size[own], "whole": least[own] == size[own] - 1})
+    ids, whole = pdf["id"].to_numpy(), least == size - 1
+    rows = np.union1d(rows, np.fromiter(few, int, len(few)))
+    own, there = label[rows], label[rows] >= 0
+    near = pd.Series([ids[few[i]].tolist() if i in few else None for i in rows.tolist()], dtype=object)
+    return pd.DataFrame({"id": ids[rows], "label": np.where(there, base + own, -1), "core": core[rows], "size": np.where(there, size[own], 0), "whole": there & whole[own], "own": base + rows, "near": near})
+
+
+#: label: -1 for points that are in no cluster of the task; own: a label that no other row has; near: the few similar points of one that is no core point in the task.
+_FOUND = "id string, label long, core boolean, size int, whole boolean, own long, near array<string>"
+
+
+def _seen_in_parts(found: DataFrame, min_points: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between labels, and labels of points (id, label), that follow from adding up over all tasks what each point has near it.
+
+    A point that is a core point in some task is one. Another is one if the distinct points near it in all its tasks are enough; each task lists less than min_points of them. Whatever is near a core point belongs to its cluster, also where a task didn't see that it is one.
+    """
+    points = found.groupBy("id").agg(F.bool_or("core").alias("seen"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.min(F.when(F.col("core"), F.col("label"))).alias("label"), F.min("own").alias("own"))
+    core = cut(points.where(F.col("seen") | (F.size("near") + 1 >= min_points)).select("id", F.coalesce("label", "own").alias("label"), "near"), "core")
+    pairs = core.select("label", F.explode("near").alias("id")).join(core.select("id", F.col("label").alias("other")), "id", "left")
+    pairs = cut(pairs, "pairs")
+    more = pairs.where("other is null").select("id", "label").unionByName(core.select("id", "label"))
+    return pairs.where("other <> label").select(F.col("label").alias("a"), F.col("other").alias("b")), more
 
 
 def density_clusters(space: Space, radius: float, min_points: int, min_size: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, cluster) and clusters (cluster, cluster_id: the smallest id, size, whole: whether all members are similar to each other; null where no single task saw them all)."""
     routed = route(space, COPIES, MARGIN)
-    found = routed.groupBy("dim", "task").applyInPandas(lambda key, pdf: _task(key, pdf, radius, min_points), "id string, label long, core boolean, size int, whole boolean")
+    found = routed.groupBy("dim", "task").applyInPandas(lambda key, pdf: _task(key, pdf, radius, min_points), _FOUND)
     found = cut(found, "local")
+    labels = found.where("label >= 0")
     # the labels of a core point, one for each of its few tasks
-    shared = found.where("core").groupBy("id").agg(F.collect_set("label").alias("labels")).where("size(labels) > 1")
-    links = shared.select(F.array_min("labels").alias("a"), F.explode("labels").alias("b")).where("a <> b").distinct()
+    shared = labels.where("core").groupBy("id").agg(F.collect_set("label").alias("labels")).where("size(labels) > 1")
+    links = shared.select(F.array_min("labels").alias("a"), F.explode("labels").alias("b")).where("a <> b")
+    more = None
+    if min_points > 2:  # else one similar vector, in any task, makes a core point
+        further, more = _seen_in_parts(found, min_points)
+        links = links.unionByName(further)
+    links = links.distinct()
     joined = cut(connected_components(cut(links, "links")).withColumnRenamed("id", "label"), "joined")
-    labelled = found.join(joined, "label", "left").withColumn("cluster", F.coalesce("component", "label"))
-    members = labelled.groupBy("id").agg(F.min("cluster").alias("cluster"))
+    labelled = labels.join(joined, "label", "left").withColumn("cluster", F.coalesce("component", "label"))
+    members = labelled.select("id", "cluster")
+    if more is not None:
+        members = members.unionByName(more.join(joined, "label", "left").select("id", F.coalesce("component", "label").alias("cluster")))
+    members = members.groupBy("id").agg(F.min("cluster").alias("cluster"))
     if space.followers is not None:
         more = space.followers.join(members.withColumnRenamed("id", "leader"), "leader").select("id", "cluster")
         members = members.unionByName(more)

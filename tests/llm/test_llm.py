@@ -268,6 +268,39 @@ def test_typical_members_with_many_copies(spark):
     assert got[0]["typical"] == [data[j][0] for j in np.argsort(-score, kind="stable")[:3]]
 
 
+def brute_density(ids, cos, min_points=6):
+    """Smallest id and size of each density cluster of at least min_points points."""
+    near = cos >= 0.8
+    core = np.flatnonzero(near.sum(1) >= min_points)
+    left, out = set(core.tolist()), []
+    while left:
+        own = todo = {left.pop()}
+        while todo:
+            todo = set(np.flatnonzero(near[list(todo)].any(0)).tolist()) & left
+            own, left = own | todo, left - todo
+        own = np.flatnonzero(near[list(own)].any(0))
+        out.append((ids[own[0]], len(own)))
+    return sorted(out)
+
+
+def test_clusters_seen_in_parts(spark, monkeypatch):
+    # one cell in blocks, pairs of which are tasks: no task sees all neighbours of a point
+    monkeypatch.setattr(vec, "MAX_PIVOTS", 1)
+    monkeypatch.setattr(clusters, "CELL_ROWS", 3)
+    rng = np.random.default_rng(11)
+    basis = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    data = []
+    for t in range(13):
+        for k in range(4 + t % 5):
+            data.append((f"t{t:02d}-{k}", (basis[t] + rng.normal(size=16) * 0.02).round(4).tolist(), 16))
+    # a chain, whose ends are no core points
+    data += [(f"u{k:02d}", (np.cos(a) * basis[14] + np.sin(a) * basis[15]).round(4).tolist(), 16) for k, a in enumerate(np.linspace(0, 3, 18))]
+    df = spark.createDataFrame(data, VECTORS)
+    want = brute_density(*brute(data))
+    assert len(want) == 8 and want[-1] == ("u00", 18)
+    assert sorted((r["cluster_id"], r["size"]) for r in clusters.typical_clusters(df).collect()) == want
+
+
 # --- problems 7 to 9
 
 TEXTS = [None, "", "   ", "one", "a-b c_d é1 ..!", "x" * 5000, "日本 語。次", " ".join(f"w{i}" for i in range(3000)), "Ab. Cd! Ef?\n\nGh: ij\r\nkl " * 200, "— –", "a b", "tab\tand\x0bvt \x1c fs"]
