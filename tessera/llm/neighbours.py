@@ -3,7 +3,7 @@
 Each cell of a pivot is a shard with a hierarchical navigable small-world graph of its own; the shards' lists of a vector are merged. There are two ways to send vectors to cells:
 
 * For close neighbours only (a cosine of NEAR or more), vectors are stored in the cell of their nearest pivot and, near its border, in a second one, and searched for where they are stored. Cells are small.
-* For all neighbours, vectors are stored in one large cell and searched for in that and the next nearest ones, since neighbours that are not close lie in all directions.
+* For all neighbours, vectors are stored in one large cell and searched for in that and as many of the next nearest ones as the sample shows to be needed, since neighbours that are not close lie in all directions.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ CELL_ROWS = 4096
 COPIES, MARGIN = 2, 0.1
 #: The least cosine from which on only close neighbours are looked for.
 NEAR = 0.95
-#: Vectors stored in a cell, about, and cells that a vector is searched for in, if all neighbours are wanted.
-STORED_ROWS, PROBES = 32_768, 8
+#: Vectors stored in a cell, about, if all neighbours are wanted, and the share of a vector's nearest that the cells it is searched for in must hold, however many cells these are.
+STORED_ROWS, COVERED = 32_768, 0.985
 #: Vectors searched for in one task, about; a cell that is asked for more has several tasks.
 ASKING_ROWS = 524_288
 #: Vertices that a search of a stranger keeps in view.
@@ -98,7 +98,7 @@ def neighbour_lists(space: Space, k: int, least: float = -1.0) -> DataFrame:
     if least >= NEAR:
         lists = route(space, COPIES, MARGIN).groupBy("dim", "task").applyInPandas(lambda key, pdf: _shard(key, pdf, k, least), _LISTS)
     else:
-        lists = route_asking(space, PROBES, ASKING_ROWS).groupBy("dim", "task", "part").applyInPandas(lambda key, pdf: _ask_shard(key, pdf, k, least), _LISTS)
+        lists = route_asking(space, k, COVERED, ASKING_ROWS).groupBy("dim", "task", "part").applyInPandas(lambda key, pdf: _ask_shard(key, pdf, k, least), _LISTS)
     best = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
     # a vector is in few tasks, each with k neighbours at most
     lists = lists.groupBy("id").agg(best(F.flatten(F.collect_list("near"))).alias("near"))

@@ -237,7 +237,23 @@ def route(space: Space, copies: int, margin: float) -> DataFrame:
     return space.rows.mapInArrow(partial(_route, cells={dim: replace(c, sample=c.sample[:0]) for dim, c in space.cells.items()}, copies=copies, margin=margin), "dim int, task int, home boolean, id string, vec binary")
 
 
-def _route_asking(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple], probes: int) -> Iterator[pa.RecordBatch]:
+def probes_for(c: Cells, k: int, share: float, queries: int = 512) -> int:
+    """How many of the nearest cells of a vector hold this share of its k nearest others, by the sample; the table's, which are nearer, are in no more."""
+    at = np.arange(max(0, len(c.sample) - queries), len(c.sample))  # pivots are the first
+    k = min(k, len(c.sample) - 1)
+    if k < 1:
+        return len(c.pivots)
+    q = c.sample[at]
+    s = q @ c.sample.T
+    s[np.arange(len(at)), at] = -2
+    near = np.argpartition(-s, k - 1, 1)[:, :k]
+    home = _nearest(c.sample, c.pivots, 1, 0.0)[0][1]
+    order = q @ c.pivots.T
+    before = (order[:, None, :] > np.take_along_axis(order, home[near], 1)[:, :, None]).sum(2)
+    return min(len(c.pivots), int(np.quantile(before, share, method="higher")) + 1)
+
+
+def _route_asking(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dims = batch.column("dim").to_numpy()
         for dim in np.unique(dims).tolist():
@@ -245,7 +261,7 @@ def _route_asking(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple], pr
             rows = batch.take(pa.array(own))
             x = unit(decode(rows.column("vec").to_pylist(), dim))
             h = rows.column("h").to_numpy()
-            pivots, blocks, first_task, parts = cells[dim]
+            pivots, blocks, first_task, parts, probes = cells[dim]
             for i, (at, cell) in enumerate(_nearest(x, pivots, probes, 2.0)):
                 block, part = (h[at] >> 7) % blocks[cell], (h[at] >> 17) % parts[cell]
                 for b in range(int(blocks[cell].max(initial=1))):
@@ -257,13 +273,13 @@ def _route_asking(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple], pr
                         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), rows.column("id").take(take), rows.column("vec").take(take)], ["dim", "task", "part", "stored", "asking", "id", "vec"])
 
 
-def route_asking(space: Space, probes: int, asking_rows: int) -> DataFrame:
-    """dim, task, part, stored, asking, id, vec: each row is stored in its nearest cell (in one of the cell's blocks, in all parts of it), and asks in all blocks of the probes nearest cells, in one part of each. The sample tells how many parts keep those that ask in a task to about asking_rows."""
+def route_asking(space: Space, k: int, share: float, asking_rows: int) -> DataFrame:
+    """dim, task, part, stored, asking, id, vec: each row is stored in its nearest cell (in one of the cell's blocks, in all parts of it), and asks in all blocks of as many of its nearest cells as hold about this share of its k nearest others, in one part of each. The sample tells how many parts keep those that ask in a task to about asking_rows."""
     cells = {}
     for dim, c in space.cells.items():
-        counts = np.zeros(len(c.pivots))
+        counts, probes = np.zeros(len(c.pivots)), probes_for(c, k, share)
         for a in range(0, len(c.sample), 1024):
             for _, cell in _nearest(c.sample[a : a + 1024], c.pivots, probes, 2.0):
                 counts += np.bincount(cell, minlength=len(c.pivots))
-        cells[dim] = (c.pivots, c.blocks, c.first_task, np.maximum(1, np.ceil(counts * c.scale / asking_rows)).astype(int))
-    return space.rows.mapInArrow(partial(_route_asking, cells=cells, probes=probes), "dim int, task int, part int, stored boolean, asking boolean, id string, vec binary")
+        cells[dim] = (c.pivots, c.blocks, c.first_task, np.maximum(1, np.ceil(counts * c.scale / asking_rows)).astype(int), probes)
+    return space.rows.mapInArrow(partial(_route_asking, cells=cells), "dim int, task int, part int, stored boolean, asking boolean, id string, vec binary")

@@ -210,6 +210,15 @@ def test_recall_report(spark, monkeypatch):
     assert neighbours.recall(df.limit(0)).count() == 0
 
 
+def test_recall_with_many_cells(spark, monkeypatch):
+    # far neighbours in 75 cells
+    monkeypatch.setattr(neighbours, "STORED_ROWS", 20)
+    x = np.random.default_rng(4).normal(size=(1500, 16)).round(4)
+    df = spark.createDataFrame([(f"m{i:04d}", v.tolist(), 16) for i, v in enumerate(x)], VECTORS)
+    out = neighbours.recall(df, every=5).collect()
+    assert sum(r["found"] for r in out) >= 0.9 * sum(r["wanted"] for r in out)
+
+
 def brute_cliques(data, keep):
     ids, cos = brute(data, keep)
     near = cos >= 0.8
