@@ -111,12 +111,16 @@ def confusion(predictions: DataFrame) -> DataFrame:
 def nearest_centroid(vectors: DataFrame, folds: int = 5) -> DataFrame:
     """Each vector's label and the label of the nearest mean vector of the other folds' labels, by cosine: vec_id, label, predicted, margin (cosine of the best less that of the second).
 
-    vectors: vec_id, label, embedding. The means are one row per label; they are joined to the vectors of a fold as one array, whose size is the number of labels.
+    vectors: vec_id, label, embedding. Sums are formed per fold, label and element; a fold's means add up those of the others. The means are one row per label and fold; they are joined to the vectors of a fold as one array, whose size is the number of labels.
     """
     rows = vectors.where("label is not null").withColumn("fold", _fold("vec_id", folds))
-    elements = rows.where("fold <> 0").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = elements.groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
-    model = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("model")).withColumn("fold", F.lit(0).cast("long"))
+    elements = rows.select("fold", "label", F.posexplode("embedding").alias("i", "x"))
+    # a sum goes to each of the other folds, as wide as the small model
+    sums = elements.groupBy("fold", "label", "i").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("x").alias("n"))
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long")), lambda f: f != F.col("fold")))
+    sums = sums.select(others.alias("fold"), "label", "i", "x", "n")
+    means = sums.groupBy("fold", "label", "i").agg(F.try_divide(F.sum("x"), F.sum("n")).alias("x")).groupBy("fold", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    model = means.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("model"))
     e = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     scores = F.transform("model", lambda m: F.struct((-F.round(dot(e, m["mean"]) / (norm(e) * norm(m["mean"])), 6)).alias("s"), m["label"].alias("label")))
     ranked = rows.join(model, "fold").select("vec_id", "label", F.array_sort(scores).alias("r"))

@@ -179,6 +179,12 @@ def test_naive_bayes_learns(spark):
     assert len(out) > 20 and all(r["label"] == r["predicted"] for r in out if r["id"] != "e")
 
 
+def test_nearest_centroid_of_all_folds(spark):
+    data = [(k, "ab"[k % 2], [1.0, 0.1 * (k % 3)] if k % 2 else [0.1 * (k % 5), 1.0]) for k in range(60)]
+    out = outcomes.nearest_centroid(spark.createDataFrame(data, "vec_id long, label string, embedding array<double>")).collect()
+    assert sorted(r["vec_id"] for r in out) == list(range(60)) and all(r["label"] == r["predicted"] for r in out)
+
+
 def test_streams(spark, tmp_path, as_rows):
     src = str(tmp_path / "events")
     base = datetime(2025, 1, 1)
