@@ -1,6 +1,6 @@
 """A hierarchical navigable small-world graph of one shard, held as flat arrays of neighbours.
 
-Vertices are inserted in blocks that at most double the graph, and all searches of a block advance together, so that the work is done on arrays.
+A shard is known as a whole, so its layers are built in bulk: the candidates of a vertex are its nearest in the layer, taken from products of blocks of vectors, instead of what a search of a half-built graph finds. The rule for spreading links, links back and the layers are those of the graph built one by one.
 """
 
 from __future__ import annotations
@@ -9,15 +9,31 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Neighbours a vertex is linked to when it is inserted; it may have twice as many in all.
+#: Neighbours a vertex links to; with those that link to it, it may have twice as many.
 LINKS = 12
 #: Vertices that a search keeps in view.
-BEAM = 32
+BEAM = 40
 #: Vertices that a search expands at once.
 _WIDTH = 4
-_BLOCK = 256
+_BLOCK = 512
 #: Queries whose search advances together, so that what it works on stays in the cache.
 _AT_ONCE = 128
+#: A layer of at most so many vertices above the lowest is the top.
+_TOP = 512
+#: Vertices that a layer hands down as a start.
+_ENTRIES = 4
+
+
+def best(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of the m largest values of each row of s and these values, largest first, ties in order of column; s is overwritten."""
+    rows = np.arange(len(s))
+    m = min(m, s.shape[1])
+    at, value = np.empty((len(s), m), np.int32), np.empty((len(s), m), np.float32)
+    for i in range(m):
+        j = s.argmax(1)
+        at[:, i], value[:, i] = j, s[rows, j]
+        s[rows, j] = -np.inf
+    return at, value
 
 
 def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +95,9 @@ def _spread(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int) -> tup
     closest = np.full((b, c), -np.inf, np.float32)
     for j in range(c):
         ok = (ids[:, j] >= 0) & (count < links) & (sims[:, j] > closest[:, j])
-        kept[ok, j] = True
+        kept[:, j] = ok
         count += ok
-        closest[ok] = np.maximum(closest[ok], between[ok, j])
+        np.maximum(closest, np.where(ok[:, None], between[:, j], -np.inf), out=closest)
     rank = np.where(kept, 0, np.where(ids >= 0, 1, 2)) * c + np.arange(c)
     order = np.argsort(rank, 1)[:, :links]
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
@@ -89,126 +105,89 @@ def _spread(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int) -> tup
 
 @dataclass
 class Layer:
-    """vertices: of the shard, in the order of insertion; x: their vectors; place: of each vertex of the shard in vertices (-1: not there; last: -1); links: flat neighbour array, by place, -1: none; near: the links' similarities."""
+    """vertices: of the shard, in ascending order; x: their vectors; place: of each vertex of the shard in vertices (-1: not there; last: -1); links: flat neighbour array, by place, -1: none; near, near_sims: the candidates each vertex had, nearest first."""
 
     vertices: np.ndarray
     x: np.ndarray
     place: np.ndarray
     links: np.ndarray
     near: np.ndarray
+    near_sims: np.ndarray
 
 
 class Graph:
-    """The graph of the rows of x, unit vectors."""
+    """The graph of the rows of x, unit vectors; a vertex has candidates candidates, of which it links to some."""
 
-    def __init__(self, x: np.ndarray, links: int = LINKS, beam: int = BEAM, seed: int = 0) -> None:
+    def __init__(self, x: np.ndarray, links: int = LINKS, candidates: int = 2 * LINKS, beam: int = BEAM, seed: int = 0) -> None:
         self.x = np.ascontiguousarray(x, np.float32)
-        self.links, self.beam = links, beam
-        rng = np.random.default_rng(seed)
+        self.links, self.candidates, self.beam = links, candidates, beam
         n = len(x)
-        order = rng.permutation(n)
-        level = np.minimum(-np.log(rng.random(n)) / np.log(links), 8).astype(int)
-        self.layers: list[Layer] = []
-        for top in range(int(level.max(initial=0)), -1, -1):
-            self._insert(order[level[order] >= top])
-
-    def _entry(self, q: np.ndarray, layers: list[Layer]) -> np.ndarray:
-        """Vertices near each row of q, found by descending from the top through layers."""
-        if not layers:
-            return np.full((len(q), 1), -1)
-        best = np.repeat(layers[0].vertices[:1][None, :], len(q), 0)
-        for layer in layers:
-            found, _ = search(layer.x, layer.links, q, layer.place[best], 4)
-            best = np.where(found >= 0, layer.vertices[found], -1)
-        return best
-
-    def _insert(self, vertices: np.ndarray) -> None:
+        level = np.minimum(-np.log(np.random.default_rng(seed).random(n)) / np.log(links), 8).astype(int)
+        sizes = [int((level >= t).sum()) for t in range(int(level.max(initial=0)) + 1)]
+        top = next((t for t, m in enumerate(sizes) if t and m <= _TOP), len(sizes) - 1)
+        self.layers = [self._layer(np.flatnonzero(level >= t)) for t in range(top, -1, -1)]
+
+    def _layer(self, vertices: np.ndarray) -> Layer:
         x = self.x[vertices]
         n, most = len(vertices), 2 * self.links
         place = np.full(len(self.x) + 1, -1)
         place[vertices] = np.arange(n)
-        layer = Layer(vertices, x, place, np.full((n, most), -1, np.int32), np.full((n, most), -np.inf, np.float32))
-        a = 0
-        while a < n:
-            b = min(n, max(2 * a, 256), a + _BLOCK)
-            q = x[a:b]
-            own = q @ q.T
-            np.fill_diagonal(own, -np.inf)
-            m = min(self.beam, b - a - 1) if b - a > 1 else 0
-            near = np.argpartition(-own, m - 1, 1)[:, :m] if m else np.zeros((b - a, 0), int)
-            ids, sims = (near + a).astype(np.int32), np.take_along_axis(own, near, 1)
-            if a:
-                start = place[self._entry(q, self.layers)]
-                start = np.where(start < a, start, -1)
-                start = np.concatenate([start, np.zeros((b - a, 1), int)], 1)
-                old, old_s = search(x, layer.links[:a], q, start, self.beam)
-                ids, sims = np.concatenate([ids, old], 1), np.concatenate([sims, old_s], 1)
-            order = np.argsort(-sims, 1, kind="stable")[:, : 2 * self.links]
-            ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-            got, got_s = _spread(x, ids, sims, self.links)
-            layer.links[a:b, : got.shape[1]], layer.near[a:b, : got.shape[1]] = got, got_s
-            self._link_back(layer, a, got, got_s)
-            a = b
-        self.layers.append(layer)
-
-    def _link_back(self, layer: Layer, a: int, got: np.ndarray, got_s: np.ndarray) -> None:
-        """Links from the vertices in got to those, from a on, that chose them; a vertex with too many keeps a spread of the nearest."""
-        links, most = layer.links, layer.links.shape[1]
-        rows, cols = np.nonzero(got >= 0)
-        to, new, near = got[rows, cols].astype(np.int64), rows + a, got_s[rows, cols]
-        known = (links[to] == new[:, None]).any(1)
-        to, new, near = to[~known], new[~known], near[~known]
-        if not len(to):
-            return
-        order = np.lexsort((-near, to))
-        to, new, near = to[order], new[order], near[order]
-        first = np.flatnonzero(np.diff(to, prepend=-1))
-        rank = np.arange(len(to)) - np.repeat(first, np.diff(np.append(first, len(to))))
-        few = rank < most  # of more than twice the links the nearest do
-        to, new, near, rank = to[few], new[few], near[few], rank[few]
-        targets, where = np.unique(to, return_inverse=True)
-        have = (links[targets] >= 0).sum(1)
-        full = have + np.bincount(where) > most
-        free = ~full[where]
-        at = have[where[free]] + rank[free]
-        links[to[free], at], layer.near[to[free], at] = new[free], near[free]
-        crowded = np.flatnonzero(full)
-        if not len(crowded):
-            return
-        added, added_s = np.full((len(targets), int(rank.max()) + 1), -1, np.int32), np.full((len(targets), int(rank.max()) + 1), -np.inf, np.float32)
-        added[where, rank], added_s[where, rank] = new, near
-        for c in range(0, len(crowded), _BLOCK):
-            some = crowded[c : c + _BLOCK]
-            t = targets[some]
-            ids, sims = np.concatenate([links[t], added[some]], 1), np.concatenate([layer.near[t], added_s[some]], 1)
-            order = np.argsort(-sims, 1, kind="stable")
-            ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-            width = int((ids >= 0).sum(1).max())
-            links[t], layer.near[t] = _spread(layer.x, ids[:, :width], sims[:, :width], most)
-
-    def neighbours(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For every row of x the rows that a search from itself, its neighbours and the upper layers finds, but itself: at least k of them if there are so many (-1: none), nearest first."""
-        base = self.layers[-1]
-        n, x = len(base.vertices), base.x
-        beam = max(self.beam, k + 2)
-        out_i, out_s = np.full((n, beam), -1), np.full((n, beam), -np.inf, np.float32)
+        m = min(self.candidates, n - 1)
+        near, sims = np.empty((n, m), np.int32), np.empty((n, m), np.float32)
+        own, own_s = np.empty((n, min(m, self.links)), np.int32), np.empty((n, min(m, self.links)), np.float32)
         for a in range(0, n, _BLOCK):
-            me = np.arange(a, min(n, a + _BLOCK))
-            ids, sims = search(x, base.links, x[me], np.concatenate([me[:, None], base.links[me]], 1), beam)
-            sims[ids == me[:, None]] = -np.inf
-            ids[ids == me[:, None]] = -1
-            order = np.argsort(-sims, 1, kind="stable")
-            ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-            out_i[base.vertices[me]], out_s[base.vertices[me]] = np.where(ids >= 0, base.vertices[ids], -1), sims
-        return out_i, out_s
+            some = slice(a, min(n, a + _BLOCK))
+            s = x[some] @ x.T
+            s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+            near[some], sims[some] = best(s, m)
+            own[some], own_s[some] = _spread(x, near[some], sims[some], self.links)
+        return Layer(vertices, x, place, self._both_ways(x, own, own_s, most), near, sims)
+
+    def _both_ways(self, x: np.ndarray, own: np.ndarray, own_s: np.ndarray, most: int) -> np.ndarray:
+        """The links of own and those back; a vertex that has too many keeps a spread of them."""
+        n = len(x)
+        out = np.full((n, most), -1, np.int32)
+        if not own.size:
+            return out
+        a, b, s = np.repeat(np.arange(n), own.shape[1]), own.ravel().astype(np.int64), own_s.ravel()
+        edge = np.concatenate([a * n + b, b * n + a])
+        edge, first = np.unique(edge, return_index=True)
+        s = np.concatenate([s, s])[first]
+        a, b = edge // n, edge % n
+        order = np.lexsort((-s, a))
+        a, b, s = a[order], b[order], s[order]
+        count = np.bincount(a, minlength=n)
+        start = np.cumsum(count) - count
+        rank = np.arange(len(a)) - start[a]
+        few = count[a] <= most
+        out[a[few], rank[few]] = b[few]
+        crowded = np.flatnonzero(count > most)
+        crowded = crowded[np.argsort(count[crowded], kind="stable")]
+        at = 0
+        while at < len(crowded):
+            # as many at once as keep the products within some megabytes
+            width = count[crowded[min(len(crowded) - 1, at + 63)]]
+            some = crowded[at : at + max(1, min(64, 4_000_000 // int(width) ** 2))]
+            width = int(count[some].max())
+            cols = np.arange(width)
+            there = cols < count[some, None]
+            pick = np.where(there, start[some, None] + cols, 0)
+            ids, sims = np.where(there, b[pick], -1), np.where(there, s[pick], -np.inf).astype(np.float32)
+            out[some] = _spread(x, ids, sims, most)[0]
+            at += len(some)
+        return out
 
     def nearest(self, q: np.ndarray, k: int) -> np.ndarray:
-        """For each row of q (unit vectors) the rows of x that a search from the upper layers finds: at least k if there are so many (-1: none), nearest first."""
-        base = self.layers[-1]
+        """For each row of q (unit vectors) the rows of x that a search from the top layer down finds: at least k if there are so many (-1: none), nearest first."""
+        top, base = self.layers[0], self.layers[-1]
         beam = max(self.beam, k)
         out = np.full((len(q), beam), -1)
         for a in range(0, len(q), _BLOCK):
             some = np.ascontiguousarray(q[a : a + _BLOCK], np.float32)
-            ids, _ = search(base.x, base.links, some, base.place[self._entry(some, self.layers[:-1])] if len(self.layers) > 1 else np.zeros((len(some), 1), int), beam)
+            found = top.vertices[best(some @ top.x.T, _ENTRIES)[0]]
+            for layer in self.layers[1:-1]:
+                ids, _ = search(layer.x, layer.links, some, layer.place[found], _ENTRIES)
+                found = np.where(ids >= 0, layer.vertices[ids], -1)
+            ids, _ = search(base.x, base.links, some, base.place[found], beam)
             out[a : a + _BLOCK] = np.where(ids >= 0, base.vertices[ids], -1)
         return out

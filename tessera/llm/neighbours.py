@@ -1,9 +1,6 @@
 """Problem 6: the most similar vectors of every vector.
 
-Each cell of a pivot is a shard with a hierarchical navigable small-world graph of its own; the shards' lists of a vector are merged. There are two ways to send vectors to cells:
-
-* For close neighbours only (a cosine of NEAR or more), vectors are stored in the cell of their nearest pivot and, near its border, in a second one, and searched for where they are stored. Cells are small.
-* For all neighbours, vectors are stored in one large cell and searched for in that and as many of the next nearest ones as the sample shows to be needed, since neighbours that are not close lie in all directions.
+Each cell is a shard with a hierarchical navigable small-world graph of its own, held as flat neighbour arrays. A vector is stored in the cell of its nearest centre. It is looked for there, where its neighbours are the candidates that its own vertex has in the graph's lowest layer, and in those other cells whose centres are hardly farther, by searches from the graph's top down; how much farther they may be is read from a sample's neighbours. The shards' lists of a vector are merged.
 """
 
 from __future__ import annotations
@@ -13,49 +10,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.hnsw import Graph
-from tessera.llm.vectors import Space, decode, prepare, route, route_asking, unit
+from tessera.llm.hnsw import LINKS, Graph
+from tessera.llm.vectors import Space, decode, prepare, route_asking, unit
 from tessera.storage import cut
 
-#: Vectors that share a home cell, about.
+#: Vectors that are stored in a cell, about.
 CELL_ROWS = 4096
-#: Cells of a vector at most, and by how much another pivot's cosine may be lower than the nearest one's.
-COPIES, MARGIN = 2, 0.1
-#: The least cosine from which on only close neighbours are looked for.
-NEAR = 0.95
-#: Vectors stored in a cell, about, if all neighbours are wanted, and the share of a vector's nearest that the cells it is searched for in must hold, however many cells these are.
-STORED_ROWS, COVERED = 32_768, 0.985
+#: The share of the nearest of a sample's vectors that the cells in which a vector is looked for must hold; the table's own nearest are nearer, so more of them are there.
+COVERED = 0.985
 #: Vectors searched for in one task, about; a cell that is asked for more has several tasks.
-ASKING_ROWS = 524_288
-#: Vertices that a search of a stranger keeps in view.
-_WIDE_BEAM = 40
+ASKING_ROWS = 32_768
 #: Neighbours looked at beyond those wanted, so that ties go to the smaller id.
 _SPARE = 8
 
 
-def shard_neighbours(ids: np.ndarray, x: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of x (unit vectors; ids in ascending order) the places of its k nearest (-1: none) and their cosines rounded to 6 decimals, ties to the smaller id."""
-    near, _ = Graph(x, seed=seed).neighbours(k + _SPARE)
-    near = near[:, : k + _SPARE]
+def shard_graph(x: np.ndarray, k: int) -> Graph:
+    """The graph of the unit vectors x with enough candidates at each vertex for its k nearest."""
+    return Graph(x, candidates=max(2 * LINKS, k + _SPARE))
+
+
+def ranked(x: np.ndarray, q: np.ndarray, near: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of x in near (-1: none; skip: true where one is not wanted) the k nearest to each row of q and their cosines in doubles, rounded to 6 decimals (-inf: none), ties to the smaller row."""
     cos = np.full(near.shape, -np.inf)
-    for a in range(0, len(x), 1024):
+    for a in range(0, len(q), 1024):
         some = near[a : a + 1024]
-        cos[a : a + 1024] = np.where(some >= 0, np.round(np.einsum("ijk,ik->ij", x[some], x[a : a + 1024]), 6), -np.inf)
+        cos[a : a + 1024] = np.where(some >= 0, np.round(np.einsum("ijk,ik->ij", x[some], q[a : a + 1024]), 6), -np.inf)
+    if skip is not None:
+        cos[skip] = -np.inf
     order = np.lexsort((near, -cos), axis=1)[:, :k]
     return np.take_along_axis(near, order, 1), np.take_along_axis(cos, order, 1)
 
 
-def _shard(key: tuple, pdf: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
-    ids = pdf["id"].to_numpy()
-    if len(ids) < 2:
-        return pd.DataFrame({"id": [], "near": []}, dtype=object)
-    x = unit(decode(pdf["vec"].tolist(), int(key[0])))
-    near, cos = shard_neighbours(ids, x, k)
-    good = (near >= 0) & (cos >= least)
-    return _listed(ids, ids, near, cos, good)
-
-
 def _listed(asking: np.ndarray, ids: np.ndarray, near: np.ndarray, cos: np.ndarray, good: np.ndarray) -> pd.DataFrame:
     rows = np.flatnonzero(good.any(1))
     lists = [[{"far": -c, "id": i} for c, i in zip(cos[r][good[r]].tolist(), ids[near[r][good[r]]].tolist(), strict=True)] for r in rows]
@@ -64,25 +49,25 @@ def _listed(asking: np.ndarray, ids: np.ndarray, near: np.ndarray, cos: np.ndarr
 
 def _ask_shard(key: tuple, pdf: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
     """The k nearest stored rows of a task to each asking one, itself left out."""
-    stored = pdf[pdf["stored"]].drop_duplicates("id").sort_values("id", ignore_index=True)
-    asking = pdf[pdf["asking"]].drop_duplicates("id")
+    pdf = pdf.sort_values(["id", "stored"], ignore_index=True)
+    stored = pdf[pdf["stored"]].drop_duplicates("id", keep="last", ignore_index=True)
+    asking = pdf[pdf["asking"]].drop_duplicates("id", keep="last")
     if not len(stored) or not len(asking):
         return pd.DataFrame({"id": [], "near": []}, dtype=object)
     dim = int(key[0])
-    ids, qids = stored["id"].to_numpy(), asking["id"].to_numpy()
+    ids = stored["id"].to_numpy()
     x = unit(decode(stored["vec"].tolist(), dim))
-    graph = Graph(x)
-    vecs, out = asking["vec"].to_numpy(), []
-    for a in range(0, len(qids), 4096):
-        q, qid = unit(decode(vecs[a : a + 4096].tolist(), dim)), qids[a : a + 4096]
-        near = graph.nearest(q, _WIDE_BEAM)[:, : k + 1 + _SPARE]
-        cos = np.full(near.shape, -np.inf)
-        for b in range(0, len(q), 1024):
-            some = near[b : b + 1024]
-            cos[b : b + 1024] = np.where((some >= 0) & (ids[some] != qid[b : b + 1024, None]), np.round(np.einsum("ijk,ik->ij", x[some], q[b : b + 1024]), 6), -np.inf)
-        order = np.lexsort((near, -cos), axis=1)[:, :k]
-        near, cos = np.take_along_axis(near, order, 1), np.take_along_axis(cos, order, 1)
-        out.append(_listed(qid, ids, near, cos, cos >= least))
+    graph = shard_graph(x, k)
+    own = np.flatnonzero(stored["asking"].to_numpy())
+    near = graph.layers[-1].near[own]
+    near, cos = ranked(x, x[own], near, k)
+    out = [_listed(ids[own], ids, near, cos, cos >= least)]
+    strangers = asking[~asking["stored"]]
+    vecs, sids = strangers["vec"].to_numpy(), strangers["id"].to_numpy()
+    for a in range(0, len(sids), 4096):
+        q = unit(decode(vecs[a : a + 4096].tolist(), dim))
+        near, cos = ranked(x, q, graph.nearest(q, k + _SPARE), k)
+        out.append(_listed(sids[a : a + 4096], ids, near, cos, cos >= least))
     return pd.concat(out, ignore_index=True)
 
 
@@ -90,15 +75,12 @@ _LISTS = "id string, near array<struct<far: double, id: string>>"
 
 
 def _prepared(vectors: DataFrame, k: int, least: float) -> Space:
-    return prepare(vectors, CELL_ROWS, COPIES, MARGIN, keep=k + 1) if least >= NEAR else prepare(vectors, STORED_ROWS, 1, 0.0, keep=k + 1)
+    return prepare(vectors, CELL_ROWS, k + 1, k, least, COVERED)
 
 
 def neighbour_lists(space: Space, k: int, least: float = -1.0) -> DataFrame:
     """id and near (far: the cosine with its sign turned, id), nearest first, of the k nearest others of each vector of space (as _prepared() makes it for the same k and least) that have a cosine of least or more; ids without one are left out."""
-    if least >= NEAR:
-        lists = route(space, COPIES, MARGIN).groupBy("dim", "task").applyInPandas(lambda key, pdf: _shard(key, pdf, k, least), _LISTS)
-    else:
-        lists = route_asking(space, k, COVERED, ASKING_ROWS).groupBy("dim", "task", "part").applyInPandas(lambda key, pdf: _ask_shard(key, pdf, k, least), _LISTS)
+    lists = route_asking(space, ASKING_ROWS).groupBy("dim", "task", "part").applyInPandas(lambda key, pdf: _ask_shard(key, pdf, k, least), _LISTS)
     best = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
     # a vector is in few tasks, each with k neighbours at most
     lists = lists.groupBy("id").agg(best(F.flatten(F.collect_list("near"))).alias("near"))

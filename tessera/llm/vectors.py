@@ -1,4 +1,4 @@
-"""Vectors made ready for work in parts of space: usable ones, once each, encoded without loss, and sent to the cells of a few pivots.
+"""Vectors made ready for work in parts of space: usable ones, once each, encoded without loss, and sent to cells.
 
 A vector of decimals, as most stored embeddings are, is encoded as its exponent and 16-bit integers if these give back exactly the same doubles, otherwise as its doubles; so what is shuffled is about a quarter of the table and cosines are still those of the doubles.
 """
@@ -6,22 +6,24 @@ A vector of decimals, as most stored embeddings are, is encoded as its exponent
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import norm_key
 from tessera.storage import cut
 
-#: Vectors, about, from which pivots are drawn and the sizes of cells are estimated.
-SAMPLE = 8192
-#: Pivots of one dim at most: with them a task's pivots stay within some megabytes.
-MAX_PIVOTS = 4096
+#: Vectors, about, that cells are made from: a 64th of all, but at least and at most so many.
+SAMPLE, MOST_SAMPLED = 8192, 131_072
+#: Sampled vectors that a cell is made of at least, so that there are MOST_SAMPLED / this many cells at most; beyond, cells grow and are divided into blocks.
+_PER_CELL = 16
+_ROUNDS = 6
+#: Sampled vectors whose nearest others show how far beyond its own cell a vector must look.
+_ASKED = 1024
 #: Rows up to which a side that is to be excluded is broadcast.
 BROADCAST_ROWS = 50_000
 _RAW = 255
@@ -82,20 +84,12 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
             yield int(dim), rows[ok], x[ok]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
-    """every 0: the vectors encoded; else only those whose hash every divides."""
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, hashes = batch.column("id"), batch.column("h")
         for dim, rows, x in _by_dim(batch):
             at = pa.array(rows)
-            h = hashes.take(at)
-            vec = encode(x)
-            if every:
-                keep = np.flatnonzero(h.to_numpy() % every == 0)
-                mask = np.ones(len(rows), bool)
-                mask[keep] = False
-                vec = pa.array([None if m else v for m, v in zip(mask, vec.to_pylist(), strict=True)], pa.binary()) if len(keep) else pa.nulls(len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.full(len(rows), dim, np.int32)), h, vec], ["id", "dim", "h", "vec"])
+            yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.full(len(rows), dim, np.int32)), hashes.take(at), encode(x)], ["id", "dim", "h", "vec"])
 
 
 _ENCODED = "id string, dim int, h long, vec binary"
@@ -109,7 +103,7 @@ def _shaped(vectors: DataFrame) -> DataFrame:
 
 @dataclass
 class Space:
-    """rows: id, dim, h, vec of the vectors to work on, of which a few may be repeated; followers: id and leader of those left out since at least keep equal vectors with smaller ids are in rows; pivots and tasks: of each dim, as cells() makes them."""
+    """rows: id, dim, h, vec of the vectors to work on, of which a few may be repeated; followers: id and leader of those left out since at least keep equal vectors with smaller ids are in rows; cells: of each dim."""
 
     rows: DataFrame
     followers: DataFrame | None
@@ -118,168 +112,208 @@ class Space:
 
 @dataclass
 class Cells:
-    """pivots: unit vectors, the centres of cells; blocks: into how many blocks each cell's rows are divided, each pair of which is a task; sample: unit vectors, each of which stands for scale rows."""
+    """pivots: unit vectors, the centres of cells; margin: by how much the cosine of another pivot may be lower than that of the nearest for a vector's neighbours to be looked for there too; blocks: into how many blocks the rows of each cell are divided; asking: about how many rows look for neighbours in each cell."""
 
     pivots: np.ndarray
+    margin: float
     blocks: np.ndarray
-    first_task: np.ndarray
-    sample: np.ndarray
-    scale: float
+    asking: np.ndarray
 
 
-def _nearest(x: np.ndarray, pivots: np.ndarray, copies: int, margin: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, cells): first every row with its nearest pivot, then, for each further copy, the rows with another pivot within the margin."""
-    s = x.astype(np.float32) @ pivots.T
-    cell = s.argmax(1)
-    every = np.arange(len(x))
-    best = s[every, cell]
-    out = [(every, cell)]
-    for _ in range(min(copies, pivots.shape[0]) - 1):
-        s[every, cell] = -2
-        cell = s.argmax(1)
-        near = np.flatnonzero(s[every, cell] >= best - margin)
-        out.append((near, cell[near]))
-    return out
-
-
-def cells_of(sample: np.ndarray, n: int, cell_rows: int, copies: int, margin: float) -> Cells:
-    """Pivots, drawn from the sample, for n vectors of which about cell_rows share a home; blocks for cells that the sample shows to be larger than twice that."""
-    k = int(min(MAX_PIVOTS, len(sample), max(1, round(n / cell_rows))))
-    pivots = unit(sample)[:k].astype(np.float32)
-    counts = np.zeros(k)
-    for a in range(0, len(sample), 1024):
-        for _, cell in _nearest(unit(sample[a : a + 1024]), pivots, copies, margin):
-            counts += np.bincount(cell, minlength=k)
-    rows = counts * n / len(sample)
-    blocks = np.maximum(1, np.ceil(rows / (2 * copies * cell_rows))).astype(int)
-    tasks = blocks * (blocks + 1) // 2
-    return Cells(pivots, blocks, np.concatenate([[0], np.cumsum(tasks)[:-1]]), unit(sample).astype(np.float32), n / len(sample))
+def _homes(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[a : a + 4096] @ pivots.T).argmax(1) for a in range(0, len(x), 4096)])
 
 
-def _firsts(batches: Iterator[pd.DataFrame], keep: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        g = pdf.drop_duplicates().sort_values("id").groupby(["dim", "h"], sort=False)
-        out = g["id"].agg(ids=lambda s: list(s.iloc[:keep]), n="size").reset_index()
-        yield out[["dim", "h", "ids", "n"]]
-
-
-def prepare(vectors: DataFrame, cell_rows: int, copies: int, margin: float, keep: int, ids: DataFrame | None = None) -> Space:
-    """The usable vectors of a table (memory_id, embedding, dim), each id once, and cells for them.
+def _around(x: np.ndarray, pivots: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest pivot of each row of x; and rows with other pivots that are within the margin."""
+    s = x.astype(np.float32) @ pivots.T
+    every, home = np.arange(len(x)), s.argmax(1)
+    far = s[every, home] - margin
+    s[every, home] = -2
+    rows, others = np.nonzero(s >= far[:, None])
+    return home, rows, others
+
+
+def _means(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The pivots, moved to the middle of the rows of x that are nearest to them, some times over."""
+    pivots = pivots.copy()
+    for _ in range(_ROUNDS):
+        home = _homes(x, pivots)
+        order = np.argsort(home, kind="stable")
+        some, first = np.unique(home[order], return_index=True)
+        sums = np.add.reduceat(x[order], first, axis=0)
+        length = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+        good = length > 1e-6
+        pivots[some[good]] = sums[good] / length[good, None]
+    return pivots
+
+
+def _pivots(x: np.ndarray, most: float) -> np.ndarray:
+    """Centres of cells for about most rows of x each; a cell that has over half as many again is divided further, as long as its rows differ."""
+    limit = max(1, len(x) // _PER_CELL)
+    pivots = _means(x, x[: int(min(limit, max(1, round(len(x) / most))))])
+    for _ in range(8):
+        home = _homes(x, pivots)
+        count = np.bincount(home, minlength=len(pivots))
+        large = np.flatnonzero(count > max(1.5 * most, 2 * _PER_CELL))[: max(0, limit - len(pivots))]
+        if not len(large):
+            break
+        parts = [np.delete(pivots, large, 0)]
+        for c in large:
+            own = x[home == c]
+            parts.append(_means(own, own[: int(np.ceil(count[c] / most))]))
+        pivots = np.concatenate(parts)
+    return pivots
+
+
+def _margin(x: np.ndarray, pivots: np.ndarray, k: int, least: float, share: float) -> float:
+    """The margin with which the cells of a row of x have this share of its k nearest others; of those with a cosine under least, the vectors in their direction with a cosine of least are meant."""
+    k = min(k, len(x) - 1)
+    if k < 1 or len(pivots) < 2:
+        return 2.0
+    at = np.arange(max(0, len(x) - _ASKED), len(x))
+    needs = []
+    for a in range(0, len(at), 128):
+        me = at[a : a + 128]
+        q = x[me]
+        s = q @ x.T
+        s[np.arange(len(me)), me] = -2
+        near = np.argpartition(-s, k - 1, 1)[:, :k]
+        c = np.take_along_axis(s, near, 1)[:, :, None]
+        v = x[near]
+        aside = v - c * q[:, None, :]
+        aside /= np.maximum(np.sqrt((aside**2).sum(2, keepdims=True)), 1e-9)
+        v = np.where(c < least, least * q[:, None, :] + np.sqrt(max(0.0, 1 - least**2)) * aside, v)
+        there = (v @ pivots.T).argmax(2)
+        to = q @ pivots.T
+        needs.append(to.max(1)[:, None] - np.take_along_axis(to, there, 1))
+    return float(np.quantile(np.concatenate(needs), share, method="higher")) + 1e-6
+
+
+def cells_of(sample: np.ndarray, n: int, cell_rows: int, k: int, least: float, share: float) -> Cells:
+    """Cells, made from the sample, for n vectors of which about cell_rows share a home; blocks for cells that the sample shows to be larger than twice that; a margin for this share of the k nearest others, or of what has a cosine of least."""
+    x = unit(sample).astype(np.float32)
+    scale = n / len(x)
+    pivots = _pivots(x, cell_rows / scale)
+    margin = _margin(x, pivots, k, least, share)
+    stored, asking = np.zeros(len(pivots)), np.zeros(len(pivots))
+    for a in range(0, len(x), 1024):
+        home, _, others = _around(x[a : a + 1024], pivots, margin)
+        stored += np.bincount(home, minlength=len(pivots))
+        asking += np.bincount(others, minlength=len(pivots))
+    blocks = np.maximum(1, np.ceil(stored * scale / (2 * cell_rows))).astype(int)
+    return Cells(pivots, margin, blocks, (stored + asking) * scale)
+
+
+def _copies(same: DataFrame, keep: int) -> DataFrame | None:
+    """id, h and leader of the vectors of same (id, dim, h) that at least keep equal ones with smaller ids come before; None if there are none."""
+    groups = cut(same.groupBy("dim", "h").agg(F.count("*").alias("n")).where(F.col("n") > keep).select("dim", "h"), "groups")
+    if groups.isEmpty():
+        return None
+    rows = cut(same.join(groups, ["dim", "h"]).distinct(), "copies")
+    # each partition passes on only its first ids of a group
+    rank = F.row_number().over(Window.partitionBy("dim", "h").orderBy("id"))
+    firsts = rows.withColumn("rank", rank).where(F.col("rank") <= keep).groupBy("dim", "h").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return cut(rows.join(firsts, ["dim", "h"]).where(~F.array_contains("ids", F.col("id"))).select("id", "h", F.col("ids")[0].alias("leader")), "followers")
+
+
+def prepare(vectors: DataFrame, cell_rows: int, keep: int, k: int, least: float, share: float, ids: DataFrame | None = None) -> Space:
+    """The usable vectors of a table (memory_id, embedding, dim), each id once, and cells for them (see :func:`cells_of`).
 
     Usable: id not null or blank, dim the length of embedding, all elements finite, not all zero. Of an id with several usable vectors the one with the smallest hash counts. ids: an id column; only these take part. Of vectors that are equal at most keep, those with the smallest ids, are worked on, so that no number of copies can fill a cell.
     """
-    n = vectors.count()
-    every = max(1, n // SAMPLE)
-    shaped = _shaped(vectors)
-    brief = shaped.mapInArrow(partial(_encode, every=every), _ENCODED)
-    if ids is not None:
-        brief = brief.join(ids, "id", "left_semi")
-    brief = cut(brief, "brief")
-    chosen = brief.groupBy("id").agg(F.min(F.struct("h", "dim")).alias("c"), F.count_distinct("h").alias("m"))
-    losers = brief.join(chosen.where("m > 1").select("id", "c.h"), ["id", "h"], "left_anti").join(chosen.where("m > 1").select("id"), "id", "left_semi").select("id", "h")
-    same = brief.join(losers, ["id", "h"], "left_anti").select("id", "dim", "h")
-    firsts = same.mapInPandas(partial(_firsts, keep=keep), "dim int, h long, ids array<string>, n long")
-    firsts = firsts.groupBy("dim", "h").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"), F.sum("n").alias("n")).where(F.col("n") > keep)
-    firsts = cut(firsts, "firsts")
-    if firsts.isEmpty():
-        followers = None
-        out = losers
-    else:
-        followers = cut(same.join(firsts, ["dim", "h"]).where(~F.array_contains("ids", F.col("id"))).select("id", "h", F.col("ids")[0].alias("leader")).distinct(), "followers")
-        out = losers.unionByName(followers.select("id", "h"))
-    out = cut(out, "left_out")
-    skipped = out.count()
-    rows = shaped
-    if skipped:
-        rows = rows.join(F.broadcast(out) if skipped <= BROADCAST_ROWS else out, ["id", "h"], "left_anti")
-    rows = rows.select("id", "embedding", "dim", "h").mapInArrow(partial(_encode, every=0), _ENCODED)
+    rows = _shaped(vectors).mapInArrow(_encode, _ENCODED)
     if ids is not None:
         rows = rows.join(ids, "id", "left_semi")
+    rows = cut(rows, "vectors")
+    per = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    several = cut(rows.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("id", "least"), "several")
+    brief = rows.select("id", "dim", "h")
+    out = None
+    if not several.isEmpty():
+        out = brief.join(several, "id").where("h <> least").select("id", "h").distinct()
+        brief = brief.join(out, ["id", "h"], "left_anti")
+    followers = _copies(brief, keep)
+    if followers is not None:
+        out = followers.select("id", "h") if out is None else out.unionByName(followers.select("id", "h"))
+    # the sample is bounded whatever the table; a dim without a sampled row gives its first ones
+    n = sum(per.values())
+    wanted = min(MOST_SAMPLED, max(SAMPLE, n // 64))
+    sampled = rows.where(F.pmod("h", F.lit(max(1, n // wanted))) == 0).dropDuplicates(["dim", "h"]).select("dim", "h", "vec").toPandas()
+    if out is not None:
+        out = cut(out, "left_out")
+        rows = rows.join(F.broadcast(out) if out.count() <= BROADCAST_ROWS else out, ["id", "h"], "left_anti")
     cells = {}
-    per = {r["dim"]: r["n"] for r in brief.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    # a few more than SAMPLE rows in all, whatever n; a dim without a sampled row takes its first ones
-    sampled = brief.where("vec is not null").dropDuplicates(["dim", "h"]).select("dim", "h", "vec").toPandas()
     for dim, m in per.items():
-        own = sampled[sampled["dim"] == dim].sort_values("h")
-        values = own["vec"].tolist()
-        if not values:
-            values = [bytes(r["vec"]) for r in rows.where(F.col("dim") == dim).select("vec").limit(64).collect()]
-        if values:
-            cells[dim] = cells_of(decode([bytes(v) for v in values], dim), m, cell_rows, copies, margin)
+        values = sampled[sampled["dim"] == dim].sort_values("h")["vec"].tolist() or [r["vec"] for r in rows.where(F.col("dim") == dim).select("vec").limit(64).collect()]
+        cells[dim] = cells_of(decode([bytes(v) for v in values], dim), m, cell_rows, k, least, share)
     return Space(rows, followers, cells)
 
 
-def _route(batches: Iterator[pa.RecordBatch], cells: dict[int, Cells], copies: int, margin: float) -> Iterator[pa.RecordBatch]:
+def _dims(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+        yield dim, part, unit(decode(part.column("vec").to_pylist(), dim))
+
+
+def _route(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        dims = batch.column("dim").to_numpy()
-        for dim in np.unique(dims).tolist():
-            own = np.flatnonzero(dims == dim)
-            part = batch.take(pa.array(own))
-            x = unit(decode(part.column("vec").to_pylist(), dim))
-            block = part.column("h").to_numpy()
-            c = cells[dim]
-            first = True
-            for rows, cell in _nearest(x, c.pivots, copies, margin):
-                m = c.blocks[cell]
-                b = (block[rows] >> 7) % m
-                for k in range(int(m.max(initial=1))):
-                    fits = m > k
-                    lo, hi = np.minimum(b[fits], k), np.maximum(b[fits], k)
-                    task = c.first_task[cell[fits]] + hi * (hi + 1) // 2 + lo
-                    at = pa.array(rows[fits])
-                    home = np.full(len(task), first) & (b[fits] == k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(task), dim, np.int32)), pa.array(task.astype(np.int32)), pa.array(home), part.column("id").take(at), part.column("vec").take(at)], ["dim", "task", "home", "id", "vec"])
-                first = False
-
-
-def route(space: Space, copies: int, margin: float) -> DataFrame:
-    """dim, task, home, id, vec: each row in the tasks of its nearest cell and of up to copies - 1 others within the margin; home in one of them."""
-    return space.rows.mapInArrow(partial(_route, cells={dim: replace(c, sample=c.sample[:0]) for dim, c in space.cells.items()}, copies=copies, margin=margin), "dim int, task int, home boolean, id string, vec binary")
-
-
-def probes_for(c: Cells, k: int, share: float, queries: int = 512) -> int:
-    """How many of the nearest cells of a vector hold this share of its k nearest others, by the sample; the table's, which are nearer, are in no more."""
-    at = np.arange(max(0, len(c.sample) - queries), len(c.sample))  # pivots are the first
-    k = min(k, len(c.sample) - 1)
-    if k < 1:
-        return len(c.pivots)
-    q = c.sample[at]
-    s = q @ c.sample.T
-    s[np.arange(len(at)), at] = -2
-    near = np.argpartition(-s, k - 1, 1)[:, :k]
-    home = _nearest(c.sample, c.pivots, 1, 0.0)[0][1]
-    order = q @ c.pivots.T
-    before = (order[:, None, :] > np.take_along_axis(order, home[near], 1)[:, :, None]).sum(2)
-    return min(len(c.pivots), int(np.quantile(before, share, method="higher")) + 1)
+        for dim, part, x in _dims(batch):
+            h = part.column("h").to_numpy()
+            pivots, margin, blocks, first_task = cells[dim]
+            home, others, there = _around(x, pivots, margin)
+            at, cell = np.concatenate([np.arange(len(x)), others]), np.concatenate([home, there])
+            m = blocks[cell]
+            b = (h[at] >> 7) % m
+            for k in range(int(m.max(initial=1))):
+                some = np.flatnonzero(m > k)
+                lo, hi = np.minimum(b[some], k), np.maximum(b[some], k)
+                task = first_task[cell[some]] + hi * (hi + 1) // 2 + lo
+                take = pa.array(at[some])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(task), dim, np.int32)), pa.array(task.astype(np.int32)), part.column("id").take(take), part.column("vec").take(take)], ["dim", "task", "id", "vec"])
+
+
+def _first_tasks(tasks: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(tasks)[:-1]])
+
+
+def route(space: Space, cell_rows: int) -> DataFrame:
+    """dim, task, id, vec: each row in the tasks of its nearest cell and of all others within the margin, so that most tasks have about cell_rows; what one cell gets is divided into blocks, each pair of which is a task. In as many partitions as there are tasks."""
+    cells, n = {}, 0
+    for dim, c in space.cells.items():
+        blocks = np.maximum(1, np.ceil(c.asking / (4 * cell_rows))).astype(int)
+        tasks = blocks * (blocks + 1) // 2
+        cells[dim] = (c.pivots, c.margin, blocks, _first_tasks(tasks))
+        n += int(tasks.sum())
+    return space.rows.mapInArrow(partial(_route, cells=cells), "dim int, task int, id string, vec binary").repartition(max(1, n), "dim", "task")
 
 
 def _route_asking(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    names = ["dim", "task", "part", "stored", "asking", "id", "vec"]
     for batch in batches:
-        dims = batch.column("dim").to_numpy()
-        for dim in np.unique(dims).tolist():
-            own = np.flatnonzero(dims == dim)
-            rows = batch.take(pa.array(own))
-            x = unit(decode(rows.column("vec").to_pylist(), dim))
+        for dim, rows, x in _dims(batch):
             h = rows.column("h").to_numpy()
-            pivots, blocks, first_task, parts, probes = cells[dim]
-            for i, (at, cell) in enumerate(_nearest(x, pivots, probes, 2.0)):
+            pivots, margin, blocks, first_task, parts = cells[dim]
+            home, others, there = _around(x, pivots, margin)
+            every = np.arange(len(x))
+            for at, cell, is_home in ((every, home, True), (others, there, False)):
                 block, part = (h[at] >> 7) % blocks[cell], (h[at] >> 17) % parts[cell]
                 for b in range(int(blocks[cell].max(initial=1))):
                     for p in range(int(parts[cell].max(initial=1))):
-                        stored, asking = (block == b) & (i == 0), part == p
+                        stored, asking = (block == b) & is_home, part == p
                         some = np.flatnonzero((blocks[cell] > b) & (parts[cell] > p) & (stored | asking))
                         take = pa.array(at[some])
                         columns = [np.full(len(some), dim, np.int32), (first_task[cell[some]] + b).astype(np.int32), np.full(len(some), p, np.int32), stored[some], asking[some]]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), rows.column("id").take(take), rows.column("vec").take(take)], ["dim", "task", "part", "stored", "asking", "id", "vec"])
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), rows.column("id").take(take), rows.column("vec").take(take)], names)
 
 
-def route_asking(space: Space, k: int, share: float, asking_rows: int) -> DataFrame:
-    """dim, task, part, stored, asking, id, vec: each row is stored in its nearest cell (in one of the cell's blocks, in all parts of it), and asks in all blocks of as many of its nearest cells as hold about this share of its k nearest others, in one part of each. The sample tells how many parts keep those that ask in a task to about asking_rows."""
-    cells = {}
+def route_asking(space: Space, asking_rows: int) -> DataFrame:
+    """dim, task, part, stored, asking, id, vec: each row is stored in its nearest cell (in one of the cell's blocks, in all parts of it), and asks in all blocks of that and of all other cells within the margin, in one part of each. There are as many parts as keep those that ask in a task to about asking_rows, and as many partitions as tasks."""
+    cells, n = {}, 0
     for dim, c in space.cells.items():
-        counts, probes = np.zeros(len(c.pivots)), probes_for(c, k, share)
-        for a in range(0, len(c.sample), 1024):
-            for _, cell in _nearest(c.sample[a : a + 1024], c.pivots, probes, 2.0):
-                counts += np.bincount(cell, minlength=len(c.pivots))
-        cells[dim] = (c.pivots, c.blocks, c.first_task, np.maximum(1, np.ceil(counts * c.scale / asking_rows)).astype(int), probes)
-    return space.rows.mapInArrow(partial(_route_asking, cells=cells), "dim int, task int, part int, stored boolean, asking boolean, id string, vec binary")
+        parts = np.maximum(1, np.ceil(c.asking / asking_rows)).astype(int)
+        cells[dim] = (c.pivots, c.margin, c.blocks, _first_tasks(c.blocks), parts)
+        n += int((c.blocks * parts).sum())
+    rows = space.rows.mapInArrow(partial(_route_asking, cells=cells), "dim int, task int, part int, stored boolean, asking boolean, id string, vec binary")
+    return rows.repartition(max(1, n), "dim", "task", "part")
