@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.hnsw import LINKS, Graph
+from tessera.llm.hnsw import BEAM, LINKS, Graph
 from tessera.llm.vectors import Space, decode, prepare, route_asking, unit
 from tessera.storage import cut
 
@@ -20,13 +20,15 @@ CELL_ROWS = 4096
 COVERED = 0.985
 #: Vectors searched for in one task, about; a cell that is asked for more has several tasks.
 ASKING_ROWS = 32_768
+#: Vertices that a search keeps in view if only close neighbours are wanted, which narrow searches find as well.
+CLOSE_BEAM = 13
 #: Neighbours looked at beyond those wanted, so that ties go to the smaller id.
 _SPARE = 8
 
 
-def shard_graph(x: np.ndarray, k: int) -> Graph:
+def shard_graph(x: np.ndarray, k: int, beam: int = BEAM) -> Graph:
     """The graph of the unit vectors x with enough candidates at each vertex for its k nearest."""
-    return Graph(x, candidates=max(2 * LINKS, k + _SPARE))
+    return Graph(x, candidates=max(2 * LINKS, k + _SPARE), beam=beam)
 
 
 def ranked(x: np.ndarray, q: np.ndarray, near: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,7 @@ def _listed(asking: np.ndarray, ids: np.ndarray, near: np.ndarray, cos: np.ndarr
     return pd.DataFrame({"id": asking[rows], "near": pd.Series(lists, dtype=object)})
 
 
-def _ask_shard(key: tuple, pdf: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
+def _ask_shard(key: tuple, pdf: pd.DataFrame, k: int, least: float, beam: int = BEAM) -> pd.DataFrame:
     """The k nearest stored rows of a task to each asking one, itself left out."""
     pdf = pdf.sort_values(["id", "stored"], ignore_index=True)
     stored = pdf[pdf["stored"]].drop_duplicates("id", keep="last", ignore_index=True)
@@ -57,7 +59,7 @@ def _ask_shard(key: tuple, pdf: pd.DataFrame, k: int, least: float) -> pd.DataFr
     dim = int(key[0])
     ids = stored["id"].to_numpy()
     x = unit(decode(stored["vec"].tolist(), dim))
-    graph = shard_graph(x, k)
+    graph = shard_graph(x, k, beam)
     own = np.flatnonzero(stored["asking"].to_numpy())
     near = graph.layers[-1].near[own]
     near, cos = ranked(x, x[own], near, k)
@@ -78,9 +80,9 @@ def _prepared(vectors: DataFrame, k: int, least: float) -> Space:
     return prepare(vectors, CELL_ROWS, k + 1, k, least, COVERED)
 
 
-def neighbour_lists(space: Space, k: int, least: float = -1.0) -> DataFrame:
+def neighbour_lists(space: Space, k: int, least: float = -1.0, beam: int = BEAM) -> DataFrame:
     """id and near (far: the cosine with its sign turned, id), nearest first, of the k nearest others of each vector of space (as _prepared() makes it for the same k and least) that have a cosine of least or more; ids without one are left out."""
-    lists = route_asking(space, ASKING_ROWS).groupBy("dim", "task", "part").applyInPandas(lambda key, pdf: _ask_shard(key, pdf, k, least), _LISTS)
+    lists = route_asking(space, ASKING_ROWS).groupBy("dim", "task", "part").applyInPandas(lambda key, pdf: _ask_shard(key, pdf, k, least, beam), _LISTS)
     best = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
     # a vector is in few tasks, each with k neighbours at most
     lists = lists.groupBy("id").agg(best(F.flatten(F.collect_list("near"))).alias("near"))
@@ -94,19 +96,19 @@ def neighbour_lists(space: Space, k: int, least: float = -1.0) -> DataFrame:
     return lists.unionByName(copies.select(F.col("follower").alias("id"), best(F.concat(own, other)).alias("near")))
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, beam: int = BEAM) -> DataFrame:
     """id, neighbour_id, cosine (rounded to 6 decimals) and rank of the k vectors most similar to each usable vector of vectors (memory_id, embedding, dim), among those of its dim.
 
-    Usable vectors, and what is done about repeated ids, are as in :func:`tessera.llm.vectors.prepare`. Ties go to the smaller id. least: only neighbours with this cosine or more. The lists are those an approximate index finds: of neighbours that are far from each other, which lie in all directions, some are missed (see the README for the measured recall). A vector alone in its dim has no row; an empty table gives an empty result; other columns are ignored.
+    Usable vectors, and what is done about repeated ids, are as in :func:`tessera.llm.vectors.prepare`. Ties go to the smaller id. least: only neighbours with this cosine or more; the closer these are, the fewer cells a vector is looked for in. beam: the vertices that a search keeps in view. The lists are those an approximate index finds: of neighbours that are far from each other, which lie in all directions, some are missed (see the README for the measured recall). A vector alone in its dim has no row; an empty table gives an empty result; other columns are ignored.
     """
-    lists = neighbour_lists(_prepared(vectors, k, least), k, least)
+    lists = neighbour_lists(_prepared(vectors, k, least), k, least, beam)
     out = lists.select("id", F.posexplode("near").alias("pos", "n"))
     return out.select("id", F.col("n.id").alias("neighbour_id"), (-F.col("n.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
 def close_pairs(vectors: DataFrame, k: int = 5, least: float = 0.97) -> DataFrame:
     """memory_id_a, memory_id_b, a < b: pairs of which one is among the other's k nearest, with a cosine of least or more."""
-    near = nearest(vectors, k, least)
+    near = nearest(vectors, k, least, CLOSE_BEAM)
     a, b = F.least("id", "neighbour_id"), F.greatest("id", "neighbour_id")
     return near.select(a.alias("memory_id_a"), b.alias("memory_id_b")).distinct()
 
