@@ -20,7 +20,7 @@ from tessera.storage import cut
 #: Vectors that share a home cell, about.
 CELL_ROWS = 3000
 #: The share of a sample's vectors at the radius, in the directions of their nearest, that share a cell with it; a pair shares one if either is copied into the other's.
-COVERED, NEAREST = 0.985, 5
+COVERED, NEAREST = 0.97, 5
 #: Members of a cluster that a task compares with as many others, or adds up.
 BLOCK_ROWS = 2000
 _UNSURE = 1e-5
@@ -148,7 +148,7 @@ def mutual_clusters(vectors: DataFrame, ids: DataFrame | None = None, radius: fl
 
     The density clusters with a core point wherever another vector is similar are the sets with nothing similar outside; those are kept whose members are all similar to each other, which is known where one task saw them all. The others are compared with their first member, and those that this leaves as blocks against blocks. Of vectors: memory_id, embedding, dim; of ids: id, those that take part, in normal form. Unusable and repeated vectors: see :func:`tessera.llm.vectors.prepare`.
     """
-    space = prepare(vectors, CELL_ROWS, min_size, NEAREST, radius, COVERED, ids)
+    space = prepare(vectors, CELL_ROWS, min_size, NEAREST, radius, COVERED, ids, mutual=True)
     members, clusters = density_clusters(space, radius, 2, min_size)
     open_ = cut(clusters.where("whole is null").select("cluster", "cluster_id", "size"), "open")
     good = clusters.where("whole").select("cluster", "cluster_id")
@@ -191,7 +191,7 @@ def typical_clusters(vectors: DataFrame, ids: DataFrame | None = None, radius: f
 
     A cluster of any size is added up in blocks; of every batch of members only its most typical ones go on. Ties go to the smaller id. Vectors and ids are as in :func:`mutual_clusters`; copies beyond the first min_points of one vector count in size and belong to the cluster, but only the first are candidates for typical members; their first one stands for them in the cluster's sum.
     """
-    space = prepare(vectors, CELL_ROWS, max(min_points, min_size), NEAREST, radius, COVERED, ids)
+    space = prepare(vectors, CELL_ROWS, max(min_points, min_size), NEAREST, radius, COVERED, ids, mutual=True)
     members, clusters = density_clusters(space, radius, min_points, min_size)
     rows = members.join(clusters.select("cluster", "size"), "cluster").join(space.rows.select("id", "dim", "vec").dropDuplicates(["id"]), "id")
     weight = F.lit(1.0)

@@ -166,8 +166,8 @@ def _pivots(x: np.ndarray, most: float) -> np.ndarray:
     return pivots
 
 
-def _margin(x: np.ndarray, pivots: np.ndarray, k: int, least: float, share: float) -> float:
-    """The margin with which the cells of a row of x have this share of its k nearest others; of those with a cosine under least, the vectors in their direction with a cosine of least are meant."""
+def _margin(x: np.ndarray, pivots: np.ndarray, k: int, least: float, share: float, mutual: bool) -> float:
+    """The margin with which the cells of a row of x have this share of its k nearest others; of those with a cosine under least, the vectors in their direction with a cosine of least are meant. mutual: it is enough if one of the two has the other's cell."""
     k = min(k, len(x) - 1)
     if k < 1 or len(pivots) < 2:
         return 2.0
@@ -184,18 +184,20 @@ def _margin(x: np.ndarray, pivots: np.ndarray, k: int, least: float, share: floa
         aside = v - c * q[:, None, :]
         aside /= np.maximum(np.sqrt((aside**2).sum(2, keepdims=True)), 1e-9)
         v = np.where(c < least, least * q[:, None, :] + np.sqrt(max(0.0, 1 - least**2)) * aside, v)
-        there = (v @ pivots.T).argmax(2)
-        to = q @ pivots.T
-        needs.append(to.max(1)[:, None] - np.take_along_axis(to, there, 1))
+        to, back = q @ pivots.T, v @ pivots.T
+        need = to.max(1)[:, None] - np.take_along_axis(to, back.argmax(2), 1)
+        if mutual:
+            need = np.minimum(need, back.max(2) - back[np.arange(len(me))[:, None], np.arange(k)[None, :], to.argmax(1)[:, None]])
+        needs.append(need)
     return float(np.quantile(np.concatenate(needs), share, method="higher")) + 1e-6
 
 
-def cells_of(sample: np.ndarray, n: int, cell_rows: int, k: int, least: float, share: float) -> Cells:
-    """Cells, made from the sample, for n vectors of which about cell_rows share a home; blocks for cells that the sample shows to be larger than twice that; a margin for this share of the k nearest others, or of what has a cosine of least."""
+def cells_of(sample: np.ndarray, n: int, cell_rows: int, k: int, least: float, share: float, mutual: bool = False) -> Cells:
+    """Cells, made from the sample, for n vectors of which about cell_rows share a home; blocks for cells that the sample shows to be larger than twice that; a margin for this share of the k nearest others, or of what has a cosine of least (mutual: if vectors are copied to all cells within the margin)."""
     x = unit(sample).astype(np.float32)
     scale = n / len(x)
     pivots = _pivots(x, cell_rows / scale)
-    margin = _margin(x, pivots, k, least, share)
+    margin = _margin(x, pivots, k, least, share, mutual)
     stored, asking = np.zeros(len(pivots)), np.zeros(len(pivots))
     for a in range(0, len(x), 1024):
         home, _, others = _around(x[a : a + 1024], pivots, margin)
@@ -217,7 +219,7 @@ def _copies(same: DataFrame, keep: int) -> DataFrame | None:
     return cut(rows.join(firsts, ["dim", "h"]).where(~F.array_contains("ids", F.col("id"))).select("id", "h", F.col("ids")[0].alias("leader")), "followers")
 
 
-def prepare(vectors: DataFrame, cell_rows: int, keep: int, k: int, least: float, share: float, ids: DataFrame | None = None) -> Space:
+def prepare(vectors: DataFrame, cell_rows: int, keep: int, k: int, least: float, share: float, ids: DataFrame | None = None, mutual: bool = False) -> Space:
     """The usable vectors of a table (memory_id, embedding, dim), each id once, and cells for them (see :func:`cells_of`).
 
     Usable: id not null or blank, dim the length of embedding, all elements finite, not all zero. Of an id with several usable vectors the one with the smallest hash counts. ids: an id column; only these take part. Of vectors that are equal at most keep, those with the smallest ids, are worked on, so that no number of copies can fill a cell.
@@ -246,7 +248,7 @@ def prepare(vectors: DataFrame, cell_rows: int, keep: int, k: int, least: float,
     cells = {}
     for dim, m in per.items():
         values = sampled[sampled["dim"] == dim].sort_values("h")["vec"].tolist() or [r["vec"] for r in rows.where(F.col("dim") == dim).select("vec").limit(64).collect()]
-        cells[dim] = cells_of(decode([bytes(v) for v in values], dim), m, cell_rows, k, least, share)
+        cells[dim] = cells_of(decode([bytes(v) for v in values], dim), m, cell_rows, k, least, share, mutual)
     return Space(rows, followers, cells)
 
 
