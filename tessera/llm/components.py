@@ -1,6 +1,6 @@
 """Problem 3: one group identifier for all records linked directly or through others.
 
-Union-find runs within each partition of edges and keeps only a spanning forest, a star from each vertex to the smallest vertex of its tree. A vertex keeps its smallest root as its parent; the roots it has in other partitions are linked to that one, and only these links go on to the next round, in fewer partitions. What is left shrinks with every round until it fits into one partition of a fixed size; then the parents are followed back.
+Union-find runs within each partition of edges and keeps only a spanning forest, a star from each vertex to the root of its tree. A vertex keeps its smallest root as its parent; the roots it has in other partitions are linked to that one, and only these links go on to the next round, in fewer partitions of the same bounded size. Where smallest vertices as roots save little, as along a chain in ascending order, the next rounds take random ones, which leave out a share of the vertices on every path. When what is left fits into one partition the parents are followed back.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.storage import cut
 
-#: Edges of one partition; the last round's only partition holds no more.
-EDGES_PER_PARTITION = 200_000
+#: Edges of one partition, about; the last round's only partition holds no more.
+EDGES_PER_PARTITION = 50_000
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +40,8 @@ def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words, words[roots]
 
 
-def _forest(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Merges the batches of a partition into one forest, at most two batches' worth of edges at a time."""
+def _forest(batches: Iterator[pd.DataFrame], size: int, salt: int) -> Iterator[pd.DataFrame]:
+    """Merges the batches of a partition into one forest, at most two batches' worth of edges at a time. salt: 0 for the smallest vertices as roots, else for random ones."""
     a = b = np.array([], dtype=object)
     for pdf in batches:
         a, b = np.concatenate([a, pdf["a"].to_numpy()]), np.concatenate([b, pdf["b"].to_numpy()])
@@ -49,6 +49,11 @@ def _forest(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
             a, b = spanning_forest(a, b)
     if len(a):
         v, r = spanning_forest(a, b)
+        if salt:
+            tree, _ = pd.factorize(r)
+            order = np.lexsort((pd.util.hash_array(v, hash_key=f"{salt:016d}"), tree))
+            first = np.flatnonzero(np.diff(tree[order], prepend=-1))
+            r = v[order[first]][tree]
         yield pd.DataFrame({"v": v, "r": r})
 
 
@@ -60,13 +65,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", edges_per
     kind = dict(edges.dtypes)[a]
     schema = f"v {kind}, r {kind}"
     left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-    n = left.count()
+    n, salt = left.count(), 0
     parents: list[DataFrame] = []
     while True:
         parts = max(1, -(-n // edges_per_partition))
-        by = F.xxhash64("a", "b")
-        spread = left.repartition(parts, by) if parts > 1 else left.coalesce(1)
-        forest = spread.mapInPandas(partial(_forest, size=2 * edges_per_partition), schema)
+        # every round mixes the edges anew
+        spread = left.repartition(parts, F.xxhash64("a", "b", F.lit(len(parents)))) if parts > 1 else left.coalesce(1)
+        forest = spread.mapInPandas(partial(_forest, size=2 * edges_per_partition, salt=salt if parts > 1 else 0), schema)
         if parts == 1:
             labels = forest.select(F.col("v").alias("id"), F.col("r").alias("component"))
             break
@@ -76,8 +81,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", edges_per
         left = stars.select(F.col("p").alias("a"), F.explode("roots").alias("b")).where("a <> b").distinct()
         left = cut(left, "links")
         m = left.count()
-        n = m if m < 0.8 * n else max(1, n // 2)  # where little is saved, fewer and larger partitions save more
+        if salt or m > 0.8 * n:
+            salt += 1
+        n = m
     for level in reversed(parents):
         p = level.join(labels.withColumnRenamed("id", "p"), "p", "left")
         labels = p.select(F.col("v").alias("id"), F.coalesce("component", "p").alias("component"))
+    if salt:
+        labels = cut(labels, "labels")
+        least = labels.groupBy("component").agg(F.min("id").alias("least"))
+        labels = labels.join(least, "component").select("id", F.col("least").alias("component"))
     return labels

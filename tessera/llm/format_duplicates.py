@@ -1,6 +1,6 @@
 """Problem 2: records that differ only in white space, letter case, punctuation or the order of fields, and their number of copies.
 
-Canonical notes are counted by recursive radix partitioning: a bucket is a prefix of the note's bytes; one with too many rows is split by further bytes until each fits; within a bucket a trie with counters at its ends counts the notes. Before that each task adds up its own copies, so a note that a third of all rows repeat is a few rows per task in its bucket.
+Canonical notes are counted by recursive radix partitioning: a bucket is a prefix of the note's bytes; one with too many rows is split by further bytes until each fits; within a bucket a trie with counters at its ends counts the notes. Before that each task adds up its own copies, so a note that a third of all rows repeat is a few rows per task in its bucket. Which prefixes have too many rows is a table that is joined, at each number of bytes; the driver sees only whether there are any.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.notes import notes_of
@@ -16,8 +16,10 @@ from tessera.storage import cut
 
 #: Rows, added up per task before, that a bucket may hold.
 BUCKET_ROWS = 20_000
-#: Bytes of prefix at each level; a bucket beyond the last level holds notes that share all those bytes and is counted by a trie all the same.
-LEVELS = (4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096)
+#: Bytes of prefix after the namespace at the first level; each further level has twice as many, up to the ends of the notes.
+FIRST_BYTES = 8
+#: Distinct notes that a task adds up before it passes them on.
+_HELD = 100_000
 #: Bytes an edge of the trie spans.
 _EDGE = 8
 
@@ -25,10 +27,21 @@ _PARTIAL = "note binary, digest binary, copies long, first_id string"
 
 
 def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The notes of a task with their ids counted: one row per note of a batch."""
+    """The notes of a task with their ids counted: one row per note, as long as there are not too many of them."""
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        got = pdf.groupby("note", sort=False).agg(digest=("digest", "first"), copies=("id", "size"), first_id=("id", "min")).reset_index()
-        yield got[["note", "digest", "copies", "first_id"]]
+        held.append(pdf.groupby("note", sort=False).agg(digest=("digest", "first"), copies=("id", "size"), first_id=("id", "min")).reset_index())
+        if sum(map(len, held)) > _HELD:
+            held = [_merged(held)]
+            if len(held[0]) > _HELD // 2:
+                yield held.pop()
+    if held:
+        yield _merged(held)
+
+
+def _merged(held: list[pd.DataFrame]) -> pd.DataFrame:
+    got = held[0] if len(held) == 1 else pd.concat(held).groupby("note", sort=False).agg(digest=("digest", "first"), copies=("copies", "sum"), first_id=("first_id", "min")).reset_index()
+    return got[["note", "digest", "copies", "first_id"]]
 
 
 class Trie:
@@ -80,28 +93,27 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out(trie)
 
 
-def _bucket(partial: DataFrame, most: int) -> Column:
-    """The prefix of note that names its bucket.
-
-    The driver sees only the prefixes of buckets with over most rows, fewer than rows / most per level, and their rows are looked at again with more bytes; buckets that fit are never gathered.
-    """
-    name, left = F.lit(None).cast("binary"), partial
-    for n in LEVELS:
-        prefix = F.substring("note", 1, n)
-        large = [bytes(r[0]) for r in left.groupBy(prefix.alias("p")).count().where(F.col("count") > most).select("p").collect()]
-        stays = F.lit(True) if not large else ~prefix.isin(large)
-        name = F.coalesce(name, F.when(stays, prefix))
-        if not large:
-            return name
-        left = left.where(prefix.isin(large) & (F.length("note") > n))
-    return F.coalesce(name, F.substring("note", 1, LEVELS[-1]))
+def _bucketed(partial: DataFrame, most: int) -> DataFrame:
+    """The rows of partial with bucket, the prefix of note that names it: of the fewest bytes at which the bucket has at most most rows or a single note."""
+    skip = F.octet_length(F.substring_index(F.col("note").cast("string"), "\x00", 1)) + 1
+    left, ready, n = partial.withColumn("skip", skip), None, FIRST_BYTES
+    while True:
+        rows = left.withColumn("bucket", F.expr(f"substring(note, 1, skip + {n})"))
+        large = cut(rows.groupBy("bucket").count().where(F.col("count") > most).select("bucket", F.lit(True).alias("large")), "large")
+        if large.isEmpty():
+            return rows if ready is None else ready.unionByName(rows)
+        rows = rows.join(large, "bucket", "left")
+        further = F.coalesce("large", F.lit(False)) & (F.length("note") > F.length("bucket"))
+        fits = rows.where(~further).drop("large")
+        ready = fits if ready is None else ready.unionByName(fits)
+        left, n = cut(rows.where(further).drop("bucket", "large"), "oversized"), 2 * n
 
 
 def count_copies(notes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """digest, copies (distinct ids) and group_id (the smallest id) of every note of :func:`notes_of`."""
     rows = notes.dropDuplicates(["id", "digest"]).select("id", F.col("note").cast("binary").alias("note"), "digest")
     partial = cut(rows.mapInPandas(_add_up, _PARTIAL), "notes")
-    named = partial.withColumn("bucket", _bucket(partial, bucket_rows))
+    named = _bucketed(partial, bucket_rows).select("bucket", "note", "digest", "copies", "first_id")
     return named.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_count, "digest binary, copies long, group_id string")
 
 

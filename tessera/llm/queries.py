@@ -17,13 +17,15 @@ from tessera.llm.neighbours import close_pairs, nearest, recall
 from tessera.llm.pieces import split_oversized
 from tessera.llm.survivors import FIELDS, best_records
 from tessera.sources.tables import table
+from tessera.storage import cut
 
 LINKING = ("supersedes", "corrects", "updates")
 
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
+    """The built records, written once, so that what is read of them is of whole records."""
     memories = table(spark, d, "memories")
-    return best_records(memories, duplicate_members(memories))
+    return cut(best_records(memories, duplicate_members(memories)), "records")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -152,11 +154,13 @@ _NOTES = rf"""notes AS (
 ), members AS (SELECT DISTINCT id AS memory_id, group_id FROM canon JOIN groups USING (ns, note) WHERE copies > 1)"""
 
 _CURRENT = f"""current AS (
-  SELECT {_KEY("id")} AS id, updated_at, coalesce(deprecated, 0) AS deprecated,
-    round(CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence ELSE 0 END * CASE WHEN importance BETWEEN 0 AND 1 THEN importance ELSE 0 END, 6) AS score
-  FROM memories
+  SELECT *, epoch_us(updated_at) AS since, CASE WHEN deprecated = 0 THEN 1 ELSE 0 END AS live, round(coalesce(confidence, 0) * coalesce(importance, 0), 6) AS score
+  FROM (SELECT * REPLACE ({_KEY("id")} AS id, coalesce(deprecated, 0) AS deprecated, CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END AS confidence, CASE WHEN importance BETWEEN 0 AND 1 THEN importance END AS importance) FROM memories)
 ), latest AS (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, deprecated, score DESC) AS v FROM current
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, live DESC, score DESC) AS v FROM current
+), survivors AS (
+  SELECT group_id, id AS survivor_id, count(*) OVER (PARTITION BY group_id) AS copies, row_number() OVER (PARTITION BY group_id ORDER BY live DESC, score DESC, updated_at DESC NULLS LAST, id) AS r
+  FROM members JOIN latest ON id = memory_id AND v = 1
 )"""
 
 _USABLE = f"""usable AS (
@@ -186,11 +190,11 @@ _MIX = rf"""sized AS (
 ), used AS (SELECT source, count(*) AS docs_used, sum(n_tokens * uses) AS tokens_used FROM mixture WHERE uses > 0 GROUP BY 1)"""
 
 SQL: dict[str, str] = {
-    "p1_found": f"""WITH {_NOTES}, {_CURRENT}
-SELECT group_id, survivor_id FROM (
-  SELECT group_id, id AS survivor_id, row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN deprecated = 0 THEN 0 ELSE 1 END, score DESC, updated_at DESC NULLS LAST, id) AS r
-  FROM members JOIN latest ON id = memory_id AND v = 1
-) WHERE r = 1""",
+    "p1_found": f"WITH {_NOTES}, {_CURRENT} SELECT group_id, survivor_id FROM survivors WHERE r = 1",
+    "p1_records": f"""WITH {_NOTES}, {_CURRENT}, fields AS (
+  SELECT group_id, {", ".join(f"struct_extract(max(struct_pack(l := live, s := score, a := coalesce(since, -4611686018427387904), v := {f})) FILTER ({f} IS NOT NULL), 'v') AS {f}" for f in FIELDS)}
+  FROM members JOIN current ON id = memory_id GROUP BY group_id
+) SELECT group_id, copies, survivor_id, {", ".join(FIELDS)} FROM survivors JOIN fields USING (group_id) WHERE r = 1""",
     "p2_found": f"WITH {_NOTES} SELECT memory_id, group_id FROM members",
     "p2_records": f"WITH {_NOTES} SELECT group_id, copies FROM groups",
     "p3_found": f"""WITH RECURSIVE links AS (
@@ -198,6 +202,11 @@ SELECT group_id, survivor_id FROM (
 ), both_ways AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b
 ), reach AS (SELECT a AS id, a AS r FROM both_ways UNION SELECT b, r FROM reach JOIN both_ways ON a = id)
 SELECT id AS memory_id, min(r) AS group_id FROM reach GROUP BY id""",
+    "p3_sizes": f"""WITH RECURSIVE links AS (
+  SELECT DISTINCT {_KEY("source_memory_id")} AS a, {_KEY("target_memory_id")} AS b FROM relations WHERE {_KEY("relation_type")} IN ('supersedes', 'corrects', 'updates')
+), both_ways AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b
+), reach AS (SELECT a AS id, a AS r FROM both_ways UNION SELECT b, r FROM reach JOIN both_ways ON a = id)
+SELECT group_id, count(*) AS members FROM (SELECT id, min(r) AS group_id FROM reach GROUP BY id) GROUP BY group_id""",
     "p6_found": f"""WITH {_USABLE}, s AS (
   SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM usable a JOIN usable b ON a.dim = b.dim AND a.id <> b.id
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS r FROM s)

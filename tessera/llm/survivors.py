@@ -17,23 +17,23 @@ def _factor(name: str) -> Column:
     return F.when(~F.isnan(c) & c.between(0, 1), c)
 
 
-def current_rows(memories: DataFrame) -> DataFrame:
-    """The row of each id with its latest updated_at (null is oldest), with deprecated 0 for null, confidence and importance null unless in 0..1, and score: their product rounded to 6 decimals, 0 without one of them. Of rows with equal times the larger in the order of the fields counts. Rows without an id are left out."""
-    rows = memories.withColumns({"id": norm_key("id"), "deprecated": F.coalesce("deprecated", F.lit(0)), "confidence": _factor("confidence"), "importance": _factor("importance"), "at": epoch_micros("updated_at")}).where("id is not null")
-    rows = rows.withColumn("score", F.round(F.coalesce("confidence", F.lit(0.0)) * F.coalesce("importance", F.lit(0.0)), 6))
-    best = F.max(F.struct("at", (-F.col("deprecated")).alias("live"), "score", *(F.col(f) for f in FIELDS)))
-    return rows.groupBy("id").agg(best.alias("row")).select("id", "row.at", (-F.col("row.live")).alias("deprecated"), "row.score", *(f"row.{f}" for f in FIELDS))
+def versions(memories: DataFrame) -> DataFrame:
+    """The rows with an id, which is brought into normal form, with deprecated 0 for null, confidence and importance null unless in 0..1, at (updated_at in microseconds), live and score: confidence times importance rounded to 6 decimals, 0 without one of them."""
+    rows = memories.select(norm_key("id").alias("id"), F.coalesce("deprecated", F.lit(0)).alias("deprecated"), *(_factor(f).alias(f) if f in ("confidence", "importance") else F.col(f) for f in FIELDS)).where("id is not null")
+    return rows.withColumns({"at": epoch_micros("updated_at"), "live": (F.col("deprecated") == 0).cast("int"), "score": F.round(F.coalesce("confidence", F.lit(0.0)) * F.coalesce("importance", F.lit(0.0)), 6)})
 
 
 def best_records(memories: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per group of members (memory_id, group_id), in one aggregation: group_id, copies, survivor_id and the surviving value of each of FIELDS.
+    """One row per group of members (memory_id, group_id): group_id, copies (ids), survivor_id and the surviving value of each of FIELDS.
 
-    The survivor is not deprecated if any of the group isn't, then has the highest score, then the latest updated_at (null is oldest), then the smallest id. A field has the value of the row that, first, has one, then isn't deprecated, then has the highest score, then the latest updated_at; equal rows give the larger value. Ids that memories doesn't have are no candidates; a group without candidates is left out. Groups of any size are added up where the rows lie.
+    An id counts with its latest version (null updated_at is oldest; of equal times the larger in the order of live, score). The survivor is not deprecated if any of the group isn't, then has the highest score, then the latest updated_at, then the smallest id. A field is taken from all versions of all ids of the group: the value of the row that, first, has one, then isn't deprecated, then has the highest score, then the latest updated_at; equal rows give the larger value. Ids that memories doesn't have are no candidates; a group without candidates is left out.
+
+    All are maxima of structs: of an id over its versions, then of a group over its ids, so groups of any size are added up where the rows lie.
     """
-    rows = current_rows(memories).join(members.select(F.col("memory_id").alias("id"), "group_id"), "id")
-    live = (F.col("deprecated") == 0).cast("int")
+    field = lambda f: F.max(F.struct(F.col(f).isNotNull().alias("there"), "live", "score", "at", F.col(f).alias("value"))).alias(f)
+    ids = versions(memories).groupBy("id").agg(F.max(F.struct("at", "live", "score")).alias("last"), *(field(f) for f in FIELDS))
+    rows = ids.join(members.select(F.col("memory_id").alias("id"), "group_id"), "id")
     never = F.lit(2**62)
-    survivor = F.min(F.struct((1 - live).alias("d"), (-F.col("score")).alias("s"), F.coalesce(-F.col("at"), never).alias("t"), F.col("id").alias("survivor_id")))
-    field = lambda f: F.max(F.struct(F.col(f).isNotNull().alias("there"), live.alias("live"), F.col("score"), F.col("at"), F.col(f).alias("value")))
-    grouped = rows.groupBy("group_id").agg(F.count("*").alias("copies"), survivor.alias("survivor"), *(field(f).alias(f) for f in FIELDS))
+    survivor = F.min(F.struct((1 - F.col("last.live")).alias("d"), (-F.col("last.score")).alias("s"), F.coalesce(-F.col("last.at"), never).alias("t"), F.col("id").alias("survivor_id")))
+    grouped = rows.groupBy("group_id").agg(F.count("*").alias("copies"), survivor.alias("survivor"), *(F.max(f).alias(f) for f in FIELDS))
     return grouped.select("group_id", "copies", "survivor.survivor_id", *(F.col(f"{f}.value").alias(f) for f in FIELDS))
