@@ -1,18 +1,21 @@
 """References to records that do not exist, or that come later.
 
-Keys are split into ranges by hash. Within a range the keys are dictionary-encoded as integers; the references of each table and month are one bitmap over these integers, and so are the parents known before and in that month. References AND NOT parents leaves the orphans, whose bits are decoded to keys again. Only references of months up to the one in which their parent first appears are then compared by their exact times.
+Keys are split into ranges by hash. Within a range the keys are dictionary-encoded as integers; the references of each table and month are one compressed bitmap over these integers, and so are the parents known before and in that month. References AND NOT parents leaves the orphans, whose bits are decoded to keys again. Only references of months up to the one in which their parent first appears are then compared by their exact times.
 
 A range never holds more than one row per key, table and month, however often one key is referred to, since references are aggregated before they are shuffled by range.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import month_of
+from tessera.storage import cut
 
 #: Month of a reference whose time is not known; the time is then not tested.
 _NO_MONTH = -1
@@ -24,15 +27,60 @@ ROWS_PER_RANGE = 250_000
 _GROUPS = "ref_table string, space string, key string, month int, since long"
 
 
-def _and_not(refs: np.ndarray, parents: np.ndarray) -> np.ndarray:
-    """The positions that are set in refs and not in parents, both packed bitmaps."""
-    return np.flatnonzero(np.unpackbits(refs & ~parents))
-
-
-def _bitmap(codes: np.ndarray, size: int) -> np.ndarray:
-    bits = np.zeros(size, bool)
-    bits[codes] = True
-    return np.packbits(bits)
+#: Integers that a container of a bitmap covers, and up to how many it holds as a list.
+_SPAN, _LISTED = 1 << 16, 4096
+
+
+class Bitmap:
+    """A set of non-negative integers in containers of 65,536 each, none where there is nothing: a sorted list of 16-bit offsets where there are few, the runs' starts and ends where these are fewer still, packed bits otherwise."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        codes = np.unique(codes)
+        high = codes >> 16
+        starts = np.flatnonzero(np.diff(high, prepend=-1))
+        self.parts = {int(high[a]): self._packed((codes[a:b] & (_SPAN - 1)).astype(np.uint16)) for a, b in zip(starts, np.append(starts[1:], len(codes)), strict=True)}
+
+    @staticmethod
+    def _packed(low: np.ndarray) -> tuple[str, np.ndarray]:
+        breaks = np.flatnonzero(np.diff(low.astype(np.int32)) != 1)
+        if 2 * (len(breaks) + 1) < min(len(low), _LISTED):
+            return "runs", np.stack([low[np.append(0, breaks + 1)], low[np.append(breaks, len(low) - 1)]])
+        if len(low) <= _LISTED:
+            return "list", low
+        bits = np.zeros(_SPAN, bool)
+        bits[low] = True
+        return "bits", np.packbits(bits)
+
+    @staticmethod
+    def _offsets(part: tuple[str, np.ndarray]) -> np.ndarray:
+        kind, data = part
+        if kind == "list":
+            return data
+        if kind == "bits":
+            return np.flatnonzero(np.unpackbits(data)).astype(np.uint16)
+        first, last = data.astype(np.int64)
+        sizes = last - first + 1
+        return (np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())).astype(np.uint16)
+
+    @staticmethod
+    def _has(part: tuple[str, np.ndarray] | None, low: np.ndarray) -> np.ndarray:
+        if part is None:
+            return np.zeros(len(low), bool)
+        kind, data = part
+        if kind == "bits":
+            return (data[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
+        if kind == "list":
+            return np.isin(low, data, assume_unique=True)
+        at = np.searchsorted(data[0], low, "right") - 1
+        return (at >= 0) & (low <= data[1][np.maximum(at, 0)])
+
+    def __sub__(self, other: Bitmap) -> np.ndarray:
+        """The members that other hasn't, in ascending order."""
+        out = [np.array([], np.int64)]
+        for high, part in sorted(self.parts.items()):
+            low = self._offsets(part)
+            out.append((high << 16) + low[~self._has(other.parts.get(high), low)].astype(np.int64))
+        return np.concatenate(out)
 
 
 def _range_orphans(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -45,14 +93,16 @@ def _range_orphans(pdf: pd.DataFrame) -> pd.DataFrame:
     np.minimum.at(since, codes[~is_ref], at[~is_ref])
     since_month = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(since_month, codes[~is_ref], month[~is_ref])
-    there = _bitmap(codes[~is_ref], n)
+    there = Bitmap(codes[~is_ref])
+    # the parents known before each month
+    before = cache(lambda m: Bitmap(np.flatnonzero(since_month < m)))
     out: dict[str, list[np.ndarray]] = {c: [] for c in ("ref_table", "space", "key", "month", "since")}
     refs = pdf[is_ref]
     ref_codes = codes[is_ref]
     for (table, m), rows in refs.groupby(["ref_table", "month"], sort=False).indices.items():
-        wanted = _bitmap(ref_codes[rows], n)
-        before = there if m == _NO_MONTH else np.packbits(since_month < m)
-        none, maybe = _and_not(wanted, there), _and_not(wanted & there, before)
+        wanted = Bitmap(ref_codes[rows])
+        none = wanted - there
+        maybe = none[:0] if m == _NO_MONTH else np.setdiff1d(wanted - before(m), none, assume_unique=True)
         for found, time in ((none, _NONE), (maybe, since)):
             pairs = [words[i].split("\x1f", 1) for i in found.tolist()]
             out["ref_table"].append(np.full(len(found), table, object))
@@ -78,9 +128,9 @@ def orphan_references(references: DataFrame, parents: DataFrame, ranges: int | N
     groups = refs.groupBy("ref_table", "space", "key", "month").agg(F.min("at").alias("at"))
     known = parents.dropna(subset=["space", "key"]).groupBy("space", "key").agg(F.min("since").alias("at"))
     known = known.select(F.lit(None).cast("string").alias("ref_table"), "space", "key", F.coalesce(month_of("at"), F.lit(_NO_MONTH)).alias("month"), F.coalesce("at", F.lit(_NEVER_LATER)).alias("at"))
-    both = groups.withColumn("at", F.coalesce("at", F.lit(0))).select(known.columns).unionByName(known)
+    both = cut(groups.withColumn("at", F.coalesce("at", F.lit(0))).select(known.columns).unionByName(known), "keys")
     if ranges is None:
-        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(references.count() + parents.count()) // ROWS_PER_RANGE))
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // ROWS_PER_RANGE))
     found = both.groupBy(F.pmod(F.xxhash64("space", "key"), F.lit(ranges)).alias("range")).applyInPandas(_range_orphans, _GROUPS)
     same = [refs[c] == found[c] for c in ("ref_table", "space", "key", "month")]
     late = found["since"].isNull() | (refs["at"] < found["since"])

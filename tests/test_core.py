@@ -212,3 +212,17 @@ def test_entry_without_llm(monkeypatch):
     assert {n[:2] for n in entry.queries() if n[0] == "p" and n[1].isdigit()} == {"p5"}
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_bitmaps():
+    import numpy as np
+
+    from tessera.operators.orphans import Bitmap
+
+    rng = np.random.default_rng(3)
+    sets = [np.array([], np.int64), np.arange(70_000), rng.integers(0, 300_000, 900), rng.integers(0, 300_000, 150_000), np.concatenate([np.arange(0, 200_000, 3), np.arange(210_000, 280_000)]), np.array([65_535, 65_536])]
+    maps = [Bitmap(s) for s in sets]
+    assert {k for m in maps for k, _ in m.parts.values()} == {"list", "runs", "bits"}
+    for a, x in zip(sets, maps, strict=True):
+        for b, y in zip(sets, maps, strict=True):
+            assert (x - y).tolist() == np.setdiff1d(a, b).tolist()
