@@ -28,20 +28,25 @@ _PARTIAL = "note binary, digest binary, copies long, first_id string"
 
 def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The notes of a task with their ids counted: one row per note, as long as there are not too many of them."""
-    held: list[pd.DataFrame] = []
+    held: dict[bytes, list] = {}
     for pdf in batches:
-        held.append(pdf.groupby("note", sort=False).agg(digest=("digest", "first"), copies=("id", "size"), first_id=("id", "min")).reset_index())
-        if sum(map(len, held)) > _HELD:
-            held = [_merged(held)]
-            if len(held[0]) > _HELD // 2:
-                yield held.pop()
+        for note, digest, i in zip(pdf["note"].tolist(), pdf["digest"].tolist(), pdf["id"].tolist(), strict=True):
+            got = held.get(note)
+            if got is None:
+                held[note] = [digest, 1, i]
+            else:
+                got[1] += 1
+                got[2] = min(got[2], i)
+        if len(held) > _HELD:
+            yield _frame(held)
+            held = {}
     if held:
-        yield _merged(held)
+        yield _frame(held)
 
 
-def _merged(held: list[pd.DataFrame]) -> pd.DataFrame:
-    got = held[0] if len(held) == 1 else pd.concat(held).groupby("note", sort=False).agg(digest=("digest", "first"), copies=("copies", "sum"), first_id=("first_id", "min")).reset_index()
-    return got[["note", "digest", "copies", "first_id"]]
+def _frame(held: dict[bytes, list]) -> pd.DataFrame:
+    digests, copies, ids = zip(*held.values(), strict=True)
+    return pd.DataFrame({"note": list(held), "digest": digests, "copies": copies, "first_id": ids})
 
 
 class Trie:
