@@ -38,7 +38,7 @@ class Bitmap:
         codes = np.unique(codes)
         high = codes >> 16
         starts = np.flatnonzero(np.diff(high, prepend=-1))
-        self.parts = {int(high[a]): self._packed((codes[a:b] & (_SPAN - 1)).astype(np.uint16)) for a, b in zip(starts, np.append(starts[1:], len(codes)), strict=True)}
+        self.parts = {int(high[a]): self._packed((codes[a:b] & (_SPAN - 1)).astype(np.uint16)) for a, b in zip(starts, np.append(starts[1:], len(codes))[: len(starts)], strict=True)}
 
     @staticmethod
     def _packed(low: np.ndarray) -> tuple[str, np.ndarray]:
