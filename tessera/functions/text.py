@@ -81,3 +81,23 @@ def name_family(c: Column | str, parts: int = 1) -> Column:
 def entities(c: Column | str, most: int = 24) -> Column:
     """Up to most distinct words of three or more letters with a capital first, in order."""
     return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"\b[A-Z][A-Za-z0-9_-]{2,}"), 0)), 1, most)
+
+
+def lexical_similarity(a: Column | str, b: Column | str) -> Column:
+    """The larger of the jaccard of the words and, where one text contains the other, the shorter's length by the longer's; 0 for empty ones."""
+    x, y = squeeze(a), squeeze(b)
+    inside = (F.length(x) > 0) & (F.length(y) > 0) & (x.contains(y) | y.contains(x))
+    ratio = F.when(inside, F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))).otherwise(F.lit(0.0))
+    return F.greatest(jaccard(token_set(a), token_set(b)), ratio)
+
+
+def marker_hits(c: Column | str, markers: tuple[str, ...]) -> Column:
+    """Those of the markers that the text contains in any case; empty for null."""
+    low = F.lower(F.coalesce(_c(c), F.lit("")))
+    return F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: low.contains(m))
+
+
+def hit_score(c: Column | str, expected: Column) -> Column:
+    """The part of the expected strings, in lower case, that the text contains; 0 for none expected."""
+    low = F.lower(F.coalesce(_c(c), F.lit("")))
+    return F.when(F.size(expected) > 0, F.size(F.filter(expected, lambda w: low.contains(w))) / F.size(expected)).otherwise(F.lit(0.0))

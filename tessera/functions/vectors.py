@@ -46,3 +46,9 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def sigmoid(c: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
+
+
+def weighted_average(a: Column, b: Column, rate: float) -> Column:
+    """a moved towards b by rate, which is held within 0..1; null for unequal lengths."""
+    r = min(1.0, max(0.0, rate))
+    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: (1 - r) * x + r * y))

@@ -17,7 +17,6 @@ from tessera.operators import outcomes as O
 from tessera.operators.search import nearest_anchor, top_k
 from tessera.sources import memory as M
 from tessera.sources.tables import table
-from tessera.sources.texts import chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,10 +89,10 @@ def _domains(s: SparkSession, d: str) -> DataFrame:
 
 def _usable(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "vectors").where(V.usable(F.col("embedding"), F.col("dim")))
-    return v.select(norm_key("memory_id").alias("id"), "embedding", "dim").where("id is not null").dropDuplicates(["id"])
+    return v.select(norm_key("memory_id").alias("id"), "embedding", "dim").where("id is not null").groupBy("id").agg(F.min(F.struct("embedding", "dim")).alias("v")).select("id", "v.embedding", "v.dim")
 
 
-_USABLE_SQL = f"""usable AS (SELECT id, first(e) AS e, first(dim) AS dim FROM (SELECT {_KEY("memory_id")} AS id, embedding AS e, dim FROM vectors
+_USABLE_SQL = f"""usable AS (SELECT id, min(e) AS e, len(min(e)) AS dim FROM (SELECT {_KEY("memory_id")} AS id, embedding AS e, dim FROM vectors
   WHERE len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) WHERE id IS NOT NULL GROUP BY id)"""
 
 
@@ -128,12 +127,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return M.memories(s, d).join(M.sources(s, d), "id", "left").select("id", "namespace", "source", T.squeeze("text").alias("claim"))
 
 
-@query("sc_07_chunks")
-def _(s: SparkSession, d: str) -> DataFrame:
-    """Documents in chunks of 120 words with 20 in common."""
-    return chunks(table(s, d, "documents"), "doc_id")
-
-
 @query("ag_01_source_counts", "SELECT source, count(*) AS memories, min(chunk_index) AS first_chunk, max(chunk_index) AS last_chunk FROM src WHERE source IS NOT NULL GROUP BY source", "src")
 def _(s: SparkSession, d: str) -> DataFrame:
     return A.source_counts(M.sources(s, d))
@@ -453,7 +446,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return O.confusion(O.naive_bayes(samples))
 
 
-@query("la_35_nearest_centroid", """WITH x AS (SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS e, cast(concat('0x', substr(md5(cast(vec_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS fold FROM embeddings), m AS (SELECT label, list(v ORDER BY i) AS mean FROM (SELECT label, i, avg(x) AS v FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM x WHERE fold <> 0) GROUP BY 1, 2) GROUP BY 1),
-s AS (SELECT vec_id, x.label, m.label AS l, round(list_cosine_similarity(e, mean), 6) AS c FROM x, m WHERE fold = 0) SELECT vec_id, label, first(l ORDER BY c DESC, l) AS predicted, round(max(c) - list_sort(list(c), 'DESC')[2], 6) AS margin FROM s GROUP BY 1, 2""")
+@query("la_35_nearest_centroid", """WITH x AS (SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS e, cast(concat('0x', substr(md5(cast(vec_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS fold FROM embeddings),
+f AS (SELECT unnest(range(5)) AS f), m AS (SELECT f, label, list(v ORDER BY i) AS mean FROM (SELECT f, label, i, avg(x) AS v FROM (SELECT label, fold, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM x) JOIN f ON fold <> f GROUP BY 1, 2, 3) GROUP BY 1, 2),
+s AS (SELECT vec_id, x.label, m.label AS l, round(list_cosine_similarity(e, mean), 6) AS c FROM x JOIN m ON f = fold) SELECT vec_id, label, first(l ORDER BY c DESC, l) AS predicted, round(max(c) - list_sort(list(c), 'DESC')[2], 6) AS margin FROM s GROUP BY 1, 2""")
 def _(s: SparkSession, d: str) -> DataFrame:
     return O.nearest_centroid(table(s, d, "embeddings"))
