@@ -216,6 +216,17 @@ SELECT DISTINCT least(i, j) AS memory_id_a, greatest(i, j) AS memory_id_b FROM r
 ), sets AS (SELECT i, list_sort(list_append(list(j), i)) AS members FROM s GROUP BY i
 ), same AS (SELECT members, count(*) AS n FROM sets GROUP BY members HAVING count(*) >= 6 AND count(*) = len(members))
 SELECT unnest(members) AS memory_id, members[1] AS cluster_id FROM same""",
+    "p4_clusters": f"""WITH RECURSIVE {_USABLE}, u AS (SELECT * FROM usable WHERE id IN (SELECT {_KEY("id")} FROM memories)
+), s AS (SELECT a.id AS i, b.id AS j FROM u a JOIN u b ON a.dim = b.dim AND a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.8
+), core AS (SELECT i FROM s GROUP BY i HAVING count(*) + 1 >= 6
+), link AS (SELECT i, j FROM s WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)
+), reach AS (SELECT i AS id, i AS r FROM core UNION SELECT j, r FROM reach JOIN link ON i = id
+), comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id
+), member AS (SELECT id, c FROM comp UNION ALL SELECT j, min(c) FROM s JOIN comp ON id = i WHERE j NOT IN (SELECT i FROM core) GROUP BY j
+), sized AS (SELECT id, c, count(*) OVER (PARTITION BY c) AS size, min(id) OVER (PARTITION BY c) AS cluster_id FROM member
+), score AS (SELECT a.id, a.cluster_id, a.size, round(sum(list_cosine_similarity(x.e, y.e)) / a.size, 6) AS typical FROM sized a JOIN sized b ON a.c = b.c JOIN u x ON x.id = a.id JOIN u y ON y.id = b.id GROUP BY 1, 2, 3
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY typical DESC, id) AS r FROM score)
+SELECT cluster_id, size, string_agg(id, ',' ORDER BY r) AS typical FROM ranked WHERE size >= 6 AND r <= 3 GROUP BY 1, 2""",
     "p8_mixture": f"WITH {_MIX} SELECT doc_id, source, n_tokens, uses FROM mixture WHERE uses > 0",
     "p8_shares": f"""WITH {_MIX} SELECT source, share AS target_share, cast(repeats AS BIGINT) AS max_repeats, cast(docs AS BIGINT) AS docs, cast(tokens AS BIGINT) AS tokens, cast(budget AS BIGINT) AS budget,
   cast(coalesce(docs_used, 0) AS BIGINT) AS docs_used, cast(coalesce(tokens_used, 0) AS BIGINT) AS tokens_used, round(coalesce(tokens_used, 0) / sum(tokens_used) OVER (), 9) AS actual_share
