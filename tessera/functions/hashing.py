@@ -11,7 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_WORD = re.compile(r"\w+")
+#: Fixed value: words keep the signs of paths, versions and tags; other signs, and letters beyond ASCII, divide them.
+_WORD = re.compile(r"[A-Za-z0-9_#./:+-]+")
 
 
 def _place(word: str, dim: int) -> tuple[int, float]:
@@ -21,7 +22,7 @@ def _place(word: str, dim: int) -> tuple[int, float]:
 
 
 def hash_embeddings(texts: DataFrame, dim: int = 128) -> DataFrame:
-    """id and embedding of texts (id, text): the unit vector of the sum of the words' weights. Words are runs of letters, digits and underscores in lower case; a text without words, a null one too, has zeros. A word is hashed once per task."""
+    """id and embedding of texts (id, text): the unit vector of the sum of the words' weights. Words are runs of ASCII letters, digits and the signs of paths and versions, in lower case; a text without words, a null one too, has zeros. A word is hashed once per task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = lru_cache(100_000)(lambda w: _place(w, dim))

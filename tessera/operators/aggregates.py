@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import name_family, source_version, squeeze
+from tessera.operators.moments import element_sums
 
 
 def source_counts(sources: DataFrame) -> DataFrame:
@@ -42,8 +43,11 @@ def exact_claims(memories: DataFrame) -> DataFrame:
     """Memories with the same text but for case and blanks: how many, the keeper (highest confidence × importance, then latest created_at, then largest id), the namespaces and domains they are in, and the span of created_at. NaN counts as 0."""
     zero = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
     rows = memories.where("text is not null").select("id", "namespace", "domain_id", "created_at", squeeze("text").alias("claim"), F.round(zero("confidence") * zero("importance"), 6).alias("quality"))
-    best = F.max(F.struct("quality", "created_at", "id"))
-    return rows.groupBy("claim").agg(F.count("*").alias("copies"), best["id"].alias("keeper_id"), F.count_distinct("namespace").alias("namespaces"), F.count_distinct("domain_id").alias("domains"), F.min("created_at").alias("first_created"), F.max("created_at").alias("last_created"))
+    key = F.unhex(F.md5(F.col("claim").cast("binary"))).alias("digest")
+    # grouped by digest, so no text is shuffled; the keeper's is joined
+    parts = rows.groupBy(key, "namespace", "domain_id").agg(F.count("*").alias("copies"), F.max(F.struct("quality", "created_at", "id")).alias("best"), F.min("created_at").alias("first_created"), F.max("created_at").alias("last_created"))
+    claims = parts.groupBy("digest").agg(F.sum("copies").alias("copies"), F.max("best")["id"].alias("keeper_id"), F.count_distinct("namespace").alias("namespaces"), F.count_distinct("domain_id").alias("domains"), F.min("first_created").alias("first_created"), F.max("last_created").alias("last_created"))
+    return claims.join(rows.select(F.col("id").alias("keeper_id"), "claim"), "keeper_id").select("claim", "copies", "keeper_id", "namespaces", "domains", "first_created", "last_created")
 
 
 def duplicate_spread(claims: DataFrame) -> DataFrame:
@@ -61,9 +65,10 @@ def latest_versions(sources: DataFrame) -> DataFrame:
 
 
 def effective_dimensions(members: DataFrame) -> DataFrame:
-    """Per domain_id of members (domain_id, embedding): vectors, and the participation ratio of the variances of their elements, (Σv)² / Σv², at least 1. One row per element is added up in place before anything is shuffled."""
-    elements = members.select("domain_id", F.posexplode("embedding").alias("i", "x"))
-    per = elements.groupBy("domain_id", "i").agg(F.var_samp("x").alias("v"), F.count("*").alias("n"))
+    """Per domain_id of members (domain_id, embedding): vectors, and the participation ratio of the variances of their elements, (Σv)² / Σv², at least 1."""
+    n = F.col("n")
+    v = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("xx") - F.col("x") * F.col("x") / n) / (n - 1)))
+    per = element_sums(members, ["domain_id"], "embedding").select("domain_id", "n", v.alias("v"))
     total, squares = F.sum("v"), F.sum(F.col("v") * F.col("v"))
     return per.groupBy("domain_id").agg(F.max("n").alias("vectors"), F.round(F.greatest(F.lit(1.0), F.coalesce(F.when(squares > 0, total * total / squares), F.lit(1.0))), 4).alias("effective_dimension"))
 

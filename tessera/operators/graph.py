@@ -21,10 +21,11 @@ def authority(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     out, into = links.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("links_out")), links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("links_in"))
     chain = links.select(F.col("target").alias("id"), F.lit(1).alias("chain")).distinct()
     for k in range(1, depth):
-        longer = links.join(chain.where(F.col("chain") == k).select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct().withColumn("chain", F.lit(k + 1))
+        longer = cut(links.join(chain.where(F.col("chain") == k).select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct().withColumn("chain", F.lit(k + 1)), "longer")
         if longer.isEmpty():
             break
-        chain = cut(chain.unionByName(longer).groupBy("id").agg(F.max("chain").alias("chain")), "chain")
+        chain = chain.unionByName(longer)
+    chain = chain.groupBy("id").agg(F.max("chain").alias("chain"))
     rows = out.join(into, "id", "full").join(chain, "id", "left").na.fill(0, ["links_out", "links_in", "chain"])
     return rows.select("id", F.when(F.col("links_in") > 0, "superseded").otherwise("current").alias("state"), "links_out", "links_in", "chain")
 

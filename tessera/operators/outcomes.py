@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.keys import month_name, month_of
 from tessera.functions.text import content_tokens
 from tessera.functions.vectors import dot, norm
+from tessera.operators.moments import element_sums
 
 #: Labels of feedback that something was wrong.
 BAD_LABELS = ("missing_source", "stale", "wrong", "wrong_domain")
@@ -56,10 +57,18 @@ def monthly_labels(feedback: DataFrame, labels: tuple[str, ...]) -> DataFrame:
 
 
 def running_rating(feedback: DataFrame) -> DataFrame:
-    """Per feedback on a memory the number and mean of the ratings up to it. One memory's feedback is sorted in one task, which spills; what is kept per row is two numbers."""
-    rows = feedback.where("memory_id is not null and rating is not null and at is not null")
-    upto = Window.partitionBy("memory_id").orderBy("at", "operation_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("operation_id", "memory_id", F.count("*").over(upto).alias("so_far"), F.round(F.avg("rating").over(upto), 6).alias("mean_so_far"))
+    """Per feedback on a memory the number and mean of the ratings up to it.
+
+    Ratings are added up per memory and day; the days before are one small sum per memory and day, and only a day's own ratings are sorted, so a memory with much feedback is spread over its days.
+    """
+    rows = feedback.where("memory_id is not null and rating is not null and at is not null").withColumn("day", F.floor(F.col("at") / F.lit(86_400_000_000)))
+    days = rows.groupBy("memory_id", "day").agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
+    before = Window.partitionBy("memory_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("memory_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("total"))
+    upto = Window.partitionBy("memory_id", "day").orderBy("at", "operation_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select("operation_id", "memory_id", "day", F.count("*").over(upto).alias("k"), F.sum("rating").over(upto).alias("sum"))
+    so_far = F.col("n") + F.col("k")
+    return own.join(days, ["memory_id", "day"]).select("operation_id", "memory_id", so_far.alias("so_far"), F.round((F.col("total") + F.col("sum")) / so_far, 6).alias("mean_so_far"))
 
 
 def threshold_sweep(rows: DataFrame, score: str, positive: str, steps: int = 10) -> DataFrame:
@@ -114,9 +123,8 @@ def nearest_centroid(vectors: DataFrame, folds: int = 5) -> DataFrame:
     vectors: vec_id, label, embedding. Sums are formed per fold, label and element; a fold's means add up those of the others. The means are one row per label and fold; they are joined to the vectors of a fold as one array, whose size is the number of labels.
     """
     rows = vectors.where("label is not null").withColumn("fold", _fold("vec_id", folds))
-    elements = rows.select("fold", "label", F.posexplode("embedding").alias("i", "x"))
     # a sum goes to each of the other folds, as wide as the small model
-    sums = elements.groupBy("fold", "label", "i").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("x").alias("n"))
+    sums = element_sums(rows, ["fold", "label"], "embedding")
     others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long")), lambda f: f != F.col("fold")))
     sums = sums.select(others.alias("fold"), "label", "i", "x", "n")
     means = sums.groupBy("fold", "label", "i").agg(F.try_divide(F.sum("x"), F.sum("n")).alias("x")).groupBy("fold", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))

@@ -355,14 +355,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return M.memories(s, d).select("id", n(T.token_set("text")).alias("tokens"), n(T.content_tokens("text")).alias("content_tokens"), n(T.stems("text")).alias("stems"))
 
 
-@query("tf_16_entities", r"SELECT id, array_to_string(list_distinct(regexp_extract_all(coalesce(text, ''), '\b[A-Z][A-Za-z0-9_-]{2,}'))[:24], ',') AS entities FROM mem", "mem")
+@query("tf_16_entities", r"SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[:24], ',') AS entities FROM (SELECT id, regexp_extract_all(coalesce(text, ''), '\b[A-Z][A-Za-z0-9_-]{2,}') AS l FROM mem)", "mem")
 def _(s: SparkSession, d: str) -> DataFrame:
     return M.memories(s, d).select("id", F.array_join(T.entities("text"), ",").alias("entities"))
 
 
-SQL.pop("tf_16_entities")  # the order of list_distinct isn't defined
-
-
 @query("tf_26_preview", r"SELECT id, CASE WHEN length(t) > 80 THEN rtrim(t[:77]) || '...' ELSE t END AS preview FROM (SELECT id, trim(regexp_replace(text, '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS t FROM mem)", "mem")
 def _(s: SparkSession, d: str) -> DataFrame:
     return M.memories(s, d).select("id", T.preview("text", 80).alias("preview"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import iso_micros, norm_key
-from tessera.streaming.log import drain, first_seen, link_feedback, read, sessions, window_counts
+from tessera.sources.tables import table
+from tessera.streaming.log import drain, first_seen, link_feedback, read, sessions, window_counts, with_tail
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -14,16 +15,26 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return read(s, path, s.read.parquet(path).schema)
 
 
+def _now(s: SparkSession, d: str) -> DataFrame:
+    """The same events as a table."""
+    e = table(s, d, "events")
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def st_06_event_windows(s: SparkSession, d: str) -> DataFrame:
-    return drain(window_counts(_events(s, d), "event_type"), "windows")
+    """Events per day and type, also of the day that isn't over."""
+    run = lambda e: window_counts(e, "event_type")
+    return with_tail(drain(run(_events(s, d)), "windows"), _now(s, d), run, "event_type")
 
 
 def st_07_sessions(s: SparkSession, d: str) -> DataFrame:
-    return drain(sessions(_events(s, d), "user_id", gap="6 hours"), "sessions")
+    """Sessions of each user, also those still open."""
+    run = lambda e: sessions(e, "user_id", gap="6 hours")
+    return with_tail(drain(run(_events(s, d)), "sessions"), _now(s, d), run, "user_id")
 
 
 def st_04_first_seen(s: SparkSession, d: str) -> DataFrame:
-    """Distinct users, types and values, each once a day."""
+    """Events by type, an event that comes again not counted again."""
     rows = drain(first_seen(_events(s, d), ["event_id"]), "first_seen")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 
@@ -44,5 +55,7 @@ SQL = {
 SELECT f.label, count(*) AS n FROM log f JOIN log a ON a.op = f.link AND a.event_type = 'ask' AND f.event_type = 'feedback' AND f.at >= a.at AND f.at <= a.at + INTERVAL 7 DAY GROUP BY 1""",
     "st_04_first_seen": "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1",
     "st_06_event_windows": """SELECT date_trunc('day', ts) AS "from", date_trunc('day', ts) + INTERVAL 1 DAY AS "to", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
-GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+GROUP BY 1, 2, 3""",
+    "st_07_sessions": """SELECT min(ts) AS "from", max(ts) + INTERVAL 6 HOUR AS "to", user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
+  SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, k""",
 }

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.storage import shared_dir
+from tessera.storage import cut, shared_dir
 
 
 def read(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
@@ -50,3 +51,12 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def with_tail(closed: DataFrame, events: DataFrame, result: Callable[[DataFrame], DataFrame], key: str, at: str = "ts", since: str = "2 days") -> DataFrame:
+    """What a stream gave, and what it still holds because its watermark hasn't passed: result, applied in batch to all events of the keys with an event in the last since (the longest time between an event and its watermark's end of it), less what came out."""
+    last = events.agg(F.max(at).alias("last"))
+    recent = events.join(F.broadcast(last), F.col(at) >= F.col("last") - F.expr(f"interval {since}"), "left_semi").select(key).distinct()
+    # written, since Spark would push the join below the merging of sessions, whose starts it changes
+    tail = cut(result(events.join(recent, key, "left_semi")), "tail").join(closed.select("from", key), ["from", key], "left_anti")
+    return closed.unionByName(tail)

@@ -38,11 +38,11 @@ def test_smoothed_against_fold(spark):
 
 
 def test_hash_embeddings(spark):
-    texts = [("a", "The cat, the CAT"), ("b", ""), ("c", None), ("d", "ünï code_1 " * 50)]
+    texts = [("a", "The cat, the CAT"), ("b", ""), ("c", None), ("d", "ünï code_1 docs/a-b.md#x " * 50)]
     got = {r["id"]: r["embedding"] for r in hash_embeddings(spark.createDataFrame(texts, "id string, text string"), 16).collect()}
     for i, t in texts:
         want = np.zeros(16)
-        for w in re.findall(r"\w+", (t or "").lower()):
+        for w in re.findall(r"[a-z0-9_#./:+-]+", (t or "").lower()):
             h = hashlib.blake2b(w.encode(), digest_size=16).digest()
             want[int.from_bytes(h[:4], "little") % 16] += (1 if h[4] % 2 == 0 else -1) * (1 + len(w) % 7 / 10)
         assert np.allclose(got[i], want / max(np.linalg.norm(want), 1e-300) if want.any() else want)
