@@ -101,3 +101,9 @@ def hit_score(c: Column | str, expected: Column) -> Column:
     """The part of the expected strings, in lower case, that the text contains; 0 for none expected."""
     low = F.lower(F.coalesce(_c(c), F.lit("")))
     return F.when(F.size(expected) > 0, F.size(F.filter(expected, lambda w: low.contains(w))) / F.size(expected)).otherwise(F.lit(0.0))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Common members of two sets by those of the smaller; 0 if either is empty."""
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from tessera.functions.keys import month_name, month_of
 from tessera.functions.text import content_tokens
 from tessera.functions.vectors import dot, norm
 from tessera.operators.moments import element_sums
+from tessera.storage import cut
 
 #: Labels of feedback that something was wrong.
 BAD_LABELS = ("missing_source", "stale", "wrong", "wrong_domain")
@@ -133,3 +138,53 @@ def nearest_centroid(vectors: DataFrame, folds: int = 5) -> DataFrame:
     scores = F.transform("model", lambda m: F.struct((-F.round(dot(e, m["mean"]) / (norm(e) * norm(m["mean"])), 6)).alias("s"), m["label"].alias("label")))
     ranked = rows.join(model, "fold").select("vec_id", "label", F.array_sort(scores).alias("r"))
     return ranked.select("vec_id", "label", F.col("r")[0]["label"].alias("predicted"), F.round(F.col("r")[1]["s"] - F.col("r")[0]["s"], 6).alias("margin"))
+
+
+def leave_one_out(vectors: DataFrame) -> DataFrame:
+    """vec_id, label and predicted: the label whose vectors' sum, the vector itself left out, is nearest by cosine; ties go to the label that comes first, a label without other vectors comes last.
+
+    The sums are one row per label; all of them are joined to each vector as one array, whose size is the number of labels.
+    """
+    rows = vectors.where("label is not null")
+    sums = element_sums(rows, ["label"], "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
+    model = sums.agg(F.array_sort(F.collect_list(F.struct("label", "total"))).alias("model")).select(F.lit(1).alias("one"), "model")
+    e = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    rest = lambda m: F.when(m["label"] == F.col("label"), F.zip_with(m["total"], e, lambda t, x: t - x)).otherwise(m["total"])
+    far = lambda m: F.coalesce(-F.round(F.try_divide(dot(e, rest(m)), norm(e) * norm(rest(m))), 6), F.lit(float("inf")))
+    scores = F.transform("model", lambda m: F.struct(far(m).alias("s"), m["label"].alias("label")))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(model), "one").select("vec_id", "label", F.array_min(scores)["label"].alias("predicted"))
+
+
+def logistic(samples: DataFrame, label: str, features: list[str], l2: float = 0.001, rounds: int = 25, epsilon: float = 1e-9) -> DataFrame:
+    """feature (``intercept`` and features), mean, scale and weight of a logistic model of label (boolean) on the standardised features, with l2 times half the square of the weights added to the mean loss.
+
+    Samples with a null or NaN are left out; a feature without spread has scale 1. Each round is one aggregation, the gradient and the second derivatives summed up where the rows lie; the driver gets these sums, a small matrix, and solves for the next weights until they stand still. Without samples, or with one label only, the weights are those at which the penalty holds them; no samples at all give no rows.
+    """
+    spark = samples.sparkSession
+    good = [F.col(f).isNotNull() & ~F.isnan(f) for f in features]
+    rows = samples.where(F.col(label).isNotNull()).where(reduce(and_, good)).select(F.col(label).cast("double").alias("y"), *(F.col(f).cast("double") for f in features))
+    rows = cut(rows, "samples")
+    first = rows.agg(F.count("*").alias("n"), *(F.avg(f) for f in features), *(F.stddev_pop(f) for f in features)).first()
+    n, k = first[0], len(features)
+    schema = "feature string, mean double, scale double, weight double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    means, scales = list(first[1 : 1 + k]), [s or 1.0 for s in first[1 + k :]]
+    x = [F.lit(1.0), *((F.col(f) - m) / s for f, m, s in zip(features, means, scales, strict=True))]
+    w = np.zeros(k + 1)
+    keep = np.diag([0.0] + [l2] * k)
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-reduce(add, (float(a) * c for a, c in zip(w, x, strict=True)))))
+        v = rows.select((F.col("y") - p).alias("r"), (p * (1 - p)).alias("v"), *(c.alias(f"x{i}") for i, c in enumerate(x)))
+        pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+        sums = np.array(v.agg(*(F.sum(F.col("r") * F.col(f"x{i}")) for i in range(k + 1)), *(F.sum(F.col("v") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs)).first(), float) / n
+        second = keep + 1e-9 * np.eye(k + 1)
+        for (i, j), s in zip(pairs, sums[k + 1 :], strict=True):
+            second[i, j] += s
+            second[j, i] = second[i, j]
+        step = np.linalg.solve(second, sums[: k + 1] - keep @ w)
+        w = w + np.clip(step, -5, 5)
+        if np.abs(step).max() < epsilon:
+            break
+    out = zip(["intercept", *features], [0.0, *means], [1.0, *scales], w.tolist(), strict=True)
+    return spark.createDataFrame([(f, float(m), float(s), round(float(a), 6)) for f, m, s, a in out], schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.functions.keys import month_name, month_of
+from tessera.operators import aggregates as A
 from tessera.operators import outcomes as O
 from tessera.operators.search import nearest_anchor
 from tessera.plans import memory as P
@@ -295,3 +296,83 @@ SELECT doc_id, cast(chunk_no AS INTEGER) AS chunk_no, cast(len(w[chunk_no * 100
 def _(s: SparkSession, d: str) -> DataFrame:
     """Documents in windows of 120 words with 20 in common."""
     return X.chunks(table(s, d, "documents"), "doc_id")
+
+
+_SPACE = f"sp AS (SELECT {P._KEY('id')} AS id, anchor_vector AS a, coalesce({P._KEY('namespace')}, 'global') AS ns, stability FROM domains WHERE {P._KEY('id')} IS NOT NULL AND len(list_filter(anchor_vector, lambda x: x IS NULL)) = 0 AND stability IS NOT NULL AND NOT isnan(stability))"
+
+
+@query("mf_10_anchor_similarities", f"WITH {_SPACE}, b AS (SELECT min(stability) AS lo, max(stability) - min(stability) AS span FROM sp) SELECT x.id AS domain_a, y.id AS domain_b, round(list_cosine_similarity(x.a, y.a), 6) AS cosine, round(CASE WHEN span > 1e-12 THEN 1 - abs(x.stability - y.stability) / span ELSE 1.0 END, 6) AS scalar, CASE WHEN x.ns = y.ns THEN 1.0 ELSE 0.0 END AS label FROM sp x JOIN sp y ON len(x.a) = len(y.a) AND x.id < y.id CROSS JOIN b")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """How alike each two domains are: by their anchors, by their stability scaled to 0..1, and by namespace. The domains are a fixed small table, so their pairs are too."""
+    a = F.col("anchor_vector")
+    rows = P._domains(s, d).where(a.isNotNull() & ~F.exists(a, lambda x: x.isNull()) & F.col("stability").isNotNull() & ~F.isnan("stability")).select("domain_id", a.alias("v"), F.size(a).alias("dim"), "namespace", "stability")
+    bounds = rows.agg(F.min("stability").alias("lo"), F.max("stability").alias("hi")).select(F.lit(1).alias("one"), (F.col("hi") - F.col("lo")).alias("span"))
+    x, y = rows.alias("x"), rows.alias("y")
+    pairs = x.join(y, (F.col("x.dim") == F.col("y.dim")) & (F.col("x.domain_id") < F.col("y.domain_id"))).select(F.lit(1).alias("one"), F.col("x.domain_id").alias("domain_a"), F.col("y.domain_id").alias("domain_b"), F.round(V.cosine(F.col("x.v"), F.col("y.v")), 6).alias("cosine"), F.abs(F.col("x.stability") - F.col("y.stability")).alias("far"), (F.col("x.namespace") == F.col("y.namespace")).cast("double").alias("label"))
+    return pairs.join(F.broadcast(bounds), "one").select("domain_a", "domain_b", "cosine", F.round(F.when(F.col("span") > 1e-12, 1 - F.col("far") / F.col("span")).otherwise(1.0), 6).alias("scalar"), "label")
+
+
+@query("tf_09_topic_overlap", f", {_USED} SELECT operation_id, memory_id, rank, CASE WHEN len(q) > 0 AND len(t) > 0 THEN round(len(list_intersect(q, t)) / least(len(q), len(t)), 6) ELSE 0.0 END AS overlap FROM (SELECT *, {_CONTENT('query')} AS q, {_CONTENT('text')} AS t FROM used)", "uses", "mem")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The common terms of query and result by the terms of the shorter."""
+    rows = _used_texts(s, d).select("operation_id", "memory_id", "rank", T.content_tokens("query").alias("q"), T.content_tokens("text").alias("t"))
+    return rows.select("operation_id", "memory_id", "rank", F.round(T.overlap(F.col("q"), F.col("t")), 6).alias("overlap"))
+
+
+@query("sc_19_sample", "SELECT id, domain_id FROM mem ORDER BY md5(id), id LIMIT 100", "mem")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A hundred memories, drawn by hash: the same ones on every run."""
+    return M.memories(s, d).orderBy(F.md5(F.col("id").cast("binary")), "id").limit(100).select("id", "domain_id")
+
+
+@query("sk_03_newest_source", f"SELECT id, s.source AS source, s.chunk_index AS chunk_index FROM (SELECT {P._KEY('memory_id')} AS id, first({{'source': {P._KEY('source')}, 'chunk_index': chunk_index}} ORDER BY created_at DESC NULLS LAST, {P._KEY('source')} DESC NULLS LAST, chunk_index DESC NULLS LAST) AS s FROM memory_sources GROUP BY 1) WHERE id IS NOT NULL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The source that each memory has after all of them were set in order of time."""
+    rows = table(s, d, "memory_sources").select(P.norm_key("memory_id").alias("id"), "created_at", P.norm_key("source").alias("source"), "chunk_index").where("id is not null")
+    return rows.groupBy("id").agg(F.max(F.struct("created_at", "source", "chunk_index")).alias("s")).select("id", "s.source", "s.chunk_index")
+
+
+@query("sc_15_domains_of_memories", f"SELECT mem.id, domain_id, name, name IS NOT NULL OR domain_id IN (SELECT {P._KEY('id')} FROM domains WHERE {P._KEY('id')} IS NOT NULL) AS known FROM mem LEFT JOIN (SELECT {P._KEY('id')} AS k, max(name) AS name FROM domains GROUP BY 1) d ON k = domain_id WHERE domain_id IS NOT NULL", "mem")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Memories with the name of their domain, and whether it exists."""
+    names = P._domains(s, d).groupBy("domain_id").agg(F.max("name").alias("name"), F.lit(True).alias("there"))
+    rows = M.memories(s, d).where("domain_id is not null").select("id", "domain_id")
+    return rows.join(names, "domain_id", "left").select("id", "domain_id", "name", F.coalesce("there", F.lit(False)).alias("known"))
+
+
+@query("ag_15_claim_support", r""", k AS (SELECT id, trim(regexp_replace(lower(text), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS claim FROM mem WHERE text IS NOT NULL) SELECT DISTINCT operation_id, memory_id, copies, keeper_id = memory_id AS is_keeper FROM uses JOIN k ON k.id = memory_id JOIN claims USING (claim)""", "uses", "mem", "claims")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """How many memories say what each result says, and whether it is the one kept."""
+    m = M.memories(s, d)
+    digest = lambda c: F.md5(c.cast("binary")).alias("digest")
+    claims = A.exact_claims(m).select(digest(F.col("claim")), "copies", "keeper_id")
+    of = m.where("text is not null").select(F.col("id").alias("memory_id"), digest(T.squeeze("text")))
+    rows = M.uses(_asks(s, d)).select("operation_id", "memory_id").distinct()
+    return rows.join(of, "memory_id").join(claims, "digest").select("operation_id", "memory_id", "copies", (F.col("keeper_id") == F.col("memory_id")).alias("is_keeper"))
+
+
+_FOLDS = P.SQL["la_35_nearest_centroid"]
+
+
+@query("la_28_cross_validation", f"SELECT cast(concat('0x', substr(md5(cast(vec_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS fold, count(*) AS n, round(avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_FOLDS}) GROUP BY 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the nearest centroid on each fold, trained on the others."""
+    rows = O.nearest_centroid(table(s, d, "embeddings"))
+    return rows.groupBy(O._fold("vec_id", 5).alias("fold")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
+
+
+@query("la_36_leave_one_out", """WITH x AS (SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL), m AS (SELECT label, list(v ORDER BY i) AS total FROM (SELECT label, i, sum(x) AS v FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM x) GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT vec_id, x.label, m.label AS l, CASE WHEN x.label = m.label THEN list_transform(range(1, len(e) + 1), lambda i: total[i] - e[i]) ELSE total END AS t, e FROM x CROSS JOIN m),
+c AS (SELECT vec_id, label, l, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: t[i] * e[i])) / nullif(sqrt(list_sum(list_transform(t, lambda v: v * v))) * sqrt(list_sum(list_transform(e, lambda v: v * v))), 0), 6) AS c FROM s)
+SELECT label, count(*) AS n, round(avg(CASE WHEN label = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT vec_id, label, first(l ORDER BY c DESC NULLS LAST, l) AS p FROM c GROUP BY 1, 2) GROUP BY 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the nearest centroid per label when each vector is left out of its own label's mean."""
+    return O.leave_one_out(table(s, d, "embeddings")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
+
+
+@query("la_23_logistic")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """How confidence, rank and score of a result tell whether its feedback is good: coefficients of a logistic model."""
+    asks = _asks(s, d)
+    rows = _rated(s, d).join(M.uses(asks).groupBy("operation_id", "memory_id").agg(F.max("score").alias("score")), ["operation_id", "memory_id"]).join(asks.select("operation_id", "confidence"), "operation_id")
+    return O.logistic(rows.select((F.col("rating") > 0).alias("good"), "confidence", F.col("rank").cast("double").alias("rank"), "score"), "good", ["confidence", "rank", "score"])

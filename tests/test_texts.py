@@ -71,3 +71,25 @@ def test_similarities(spark):
     assert [r[0] for r in got] == [0.5238095238095238 if i == 0 else x for i, x in enumerate([0, 0.0, 0.0 if got[2][0] is not None else None, 1.0])] and [r[1] for r in got] == [1.0, 0.0, 0.0, 1.0] and [r[2] for r in got] == [["gate"], [], [], ["same"]]
     v = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [r[0] for r in v.select(V.weighted_average(F.col("a"), F.col("b"), 0.25)).collect()] == [[0.75, 0.25], None]
+
+
+def test_logistic(spark):
+    import numpy as np
+
+    from tessera.operators.outcomes import leave_one_out, logistic
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(3, 2, 400), rng.normal(-1, 5, 400), np.full(400, 7.0)])
+    y = rng.random(400) < 1 / (1 + np.exp(-(0.8 * (x[:, 0] - 3) - 0.2 * x[:, 1])))
+    df = spark.createDataFrame([(*map(float, r), bool(b), "clash") for r, b in zip(x, y, strict=True)] + [(None, 1.0, 1.0, True, ""), (float("nan"), 1.0, 1.0, True, ""), (1.0, 1.0, 1.0, None, "")], "a double, b double, c double, good boolean, y string")
+    got = {r["feature"]: r["weight"] for r in logistic(df, "good", ["a", "b", "c"]).collect()}
+    # by plain descent
+    z = np.column_stack([np.ones(400), (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)])
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w += 0.5 * (z.T @ (y - 1 / (1 + np.exp(-z @ w))) / 400 - 0.001 * np.append(0, w[1:]))
+    assert np.allclose([got[f] for f in ("intercept", "a", "b", "c")], w, atol=1e-4)
+    assert logistic(df.limit(0), "good", ["a"]).count() == 0
+    one = [(1, "p", [1.0, 0.0]), (2, "p", [1.0, 0.1]), (3, "q", [0.0, 1.0]), (4, None, [1.0, 1.0]), (5, "r", [0.0, 2.0])]
+    out = {r["vec_id"]: r["predicted"] for r in leave_one_out(spark.createDataFrame(one, "vec_id long, label string, embedding array<double>")).collect()}
+    assert out == {1: "p", 2: "p", 3: "r", 5: "q"}
