@@ -8,26 +8,58 @@ from pyspark.sql import functions as F
 from tessera.operators.joins import SUPERSEDING, top_per_key
 from tessera.storage import cut
 
-#: Links that a chain is followed over at most.
-DEPTH = 8
 
+def _stretches(links: DataFrame) -> DataFrame:
+    """id, up and dist of every memory with a single source: the nearest memory above it that hasn't a single one, and the links to it.
 
-def authority(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """id, state, links_out, links_in and chain of every memory with a superseding link.
+    A chain of n links takes log2(n) joins. In and below loops of such memories alone there is no such memory; there up has a single source itself.
+    """
+    one = cut(links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"), F.min("source").alias("up")).where("n = 1").select("id", "up", F.lit(1).cast("long").alias("dist")), "stretches")
+    for _ in range(max(one.count(), 1).bit_length() + 1):
+        further = one.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
+        rows = cut(one.join(further, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("moved")), "stretches")
+        moved, one = rows.where("moved"), rows.drop("moved")
+        if moved.isEmpty():
+            break
+    return one
+
+
+def _currents(links: DataFrame, one: DataFrame) -> DataFrame:
+    """id, first, last, near and far of the memories with no source or several: see :func:`authority`. Each round only those pass something on that have changed."""
+    ends = links.select(F.col("source").alias("id"), F.lit(0).alias("n")).union(links.select("target", F.lit(1))).groupBy("id").agg(F.sum("n").alias("n")).where("n <> 1")
+    into = links.join(ends.where("n > 1").select(F.col("id").alias("target")), "target", "left_semi").join(one.withColumnRenamed("id", "source"), "source", "left")
+    w = F.coalesce("dist", F.lit(0)) + 1
+    steps = cut(into.groupBy(F.coalesce("up", "source").alias("source"), "target").agg(F.min(w).alias("least"), F.max(w).alias("most")), "steps")
+    todo = steps.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("todo"))
+    top = F.col("n") == 0
+    own, zero = F.when(top, F.col("id")), F.when(top, F.lit(0).cast("long"))
+    state = cut(ends.join(todo, "id", "left").select("id", own.alias("first"), own.alias("last"), zero.alias("near"), zero.alias("far"), F.coalesce("todo", F.lit(0)).cast("long").alias("todo"), top.alias("moved"), top.alias("done")), "currents")
+    while not state.where("moved or done").isEmpty():
+        sent = steps.join(state.where("moved or done").withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id"))
+        sent = sent.agg(F.min("first").alias("f"), F.max("last").alias("l"), F.min(F.col("near") + F.col("least")).alias("a"), F.max(F.when(F.col("done"), F.col("far") + F.col("most"))).alias("b"), F.count_if("done").alias("c"))
+        moved = ~F.least("first", "f").eqNullSafe(F.col("first")) | ~F.greatest("last", "l").eqNullSafe(F.col("last")) | ~F.least("near", "a").eqNullSafe(F.col("near"))
+        left = F.col("todo") - F.coalesce("c", F.lit(0))
+        state = cut(state.join(sent, "id", "left").select("id", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"), F.least("near", "a").alias("near"), F.greatest("far", "b").alias("far"), left.alias("todo"), moved.alias("moved"), ((F.col("todo") > 0) & (left == 0)).alias("done")), "currents")
+    return state.select("id", "first", "last", "near", F.when(F.col("todo") == 0, F.col("far")).alias("far"))
 
-    A memory that another supersedes or corrects is superseded, one that only does so itself current. chain: links of the longest chain of links that leads to it from newer memories, at most depth, so loops end. Each round passes one number along every link; paths are never listed, so large groups cost no more than their links.
+
+def authority(edges: DataFrame, memories: DataFrame) -> DataFrame:
+    """What stands in the place of every active memory with a superseding link from or to another active one.
+
+    id; state: ``current`` if no memory supersedes or corrects it, ``superseded`` if such links lead to it from a current memory, however many, ``loop`` if they come from loops only; links_out and links_in; first_current_id and last_current_id: the smallest and largest current memories from which links lead to it (equal if one alone replaces it; its own id if current, null in ``loop``); near: links of the shortest way from a current memory; chain: links of the longest way to it, null where a loop leads to it, as there is no longest. Memories without such links are not listed; links of types other than those in SUPERSEDING, of unknown and of deprecated memories don't count. No links give no rows.
+
+    Stretches of memories with a single source are followed in doubled steps; between the others each round joins the links of those that have changed, up to the fixed point. All current memories of each are not listed: in a large group these are as many as pairs.
     """
-    links = cut(edges.where(F.col("type").isin(*SUPERSEDING)).select("source", "target").distinct(), "links")
+    live = memories.where("live = 0").select(F.col("id").alias("source"))
+    links = edges.where(F.col("type").isin(*SUPERSEDING) & (F.col("source") != F.col("target"))).select("source", "target").distinct()
+    links = cut(links.join(live, "source", "left_semi").join(live.withColumnRenamed("source", "target"), "target", "left_semi").select("source", "target"), "links")
     out, into = links.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("links_out")), links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("links_in"))
-    chain = links.select(F.col("target").alias("id"), F.lit(1).alias("chain")).distinct()
-    for k in range(1, depth):
-        longer = cut(links.join(chain.where(F.col("chain") == k).select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct().withColumn("chain", F.lit(k + 1)), "longer")
-        if longer.isEmpty():
-            break
-        chain = chain.unionByName(longer)
-    chain = chain.groupBy("id").agg(F.max("chain").alias("chain"))
-    rows = out.join(into, "id", "full").join(chain, "id", "left").na.fill(0, ["links_out", "links_in", "chain"])
-    return rows.select("id", F.when(F.col("links_in") > 0, "superseded").otherwise("current").alias("state"), "links_out", "links_in", "chain")
+    one = _stretches(links)
+    tops = _currents(links, one)
+    below = one.join(tops.withColumnRenamed("id", "up"), "up", "left").select("id", "first", "last", (F.col("near") + F.col("dist")).alias("near"), (F.col("far") + F.col("dist")).alias("far"))
+    rows = out.join(into, "id", "full").join(tops.unionByName(below), "id").na.fill(0, ["links_out", "links_in"])
+    state = F.when(F.col("links_in") == 0, "current").when(F.col("first").isNull(), "loop").otherwise("superseded")
+    return rows.select("id", state.alias("state"), "links_out", "links_in", F.col("first").alias("first_current_id"), F.col("last").alias("last_current_id"), "near", F.col("far").alias("chain"))
 
 
 def stale_companions(uses: DataFrame, edges: DataFrame, memories: DataFrame, n: int = 3) -> DataFrame:

@@ -326,14 +326,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return J.scope_report(M.uses(_asks(s, d)), M.memories(s, d), M.sources(s, d))
 
 
-@query("gr_02_authority", """, RECURSIVE_LINKS AS (SELECT DISTINCT source, target FROM edges WHERE type IN ('supersedes', 'corrects')), chain AS (SELECT DISTINCT target AS id, 1 AS k FROM RECURSIVE_LINKS UNION SELECT target, k + 1 FROM chain JOIN RECURSIVE_LINKS ON source = id WHERE k < 8)
-SELECT id, CASE WHEN coalesce(links_in, 0) > 0 THEN 'superseded' ELSE 'current' END AS state, coalesce(links_out, 0) AS links_out, coalesce(links_in, 0) AS links_in, cast(coalesce(k, 0) AS INTEGER) AS chain
-FROM (SELECT source AS id, count(*) AS links_out FROM RECURSIVE_LINKS GROUP BY 1) o FULL JOIN (SELECT target AS id, count(*) AS links_in FROM RECURSIVE_LINKS GROUP BY 1) i USING (id) LEFT JOIN (SELECT id, max(k) AS k FROM chain GROUP BY 1) USING (id)""", "edges")
+@query("gr_02_authority", """, sup AS (SELECT DISTINCT source, target FROM edges WHERE type IN ('supersedes', 'corrects') AND source IN (SELECT id FROM mem WHERE live = 0) AND target IN (SELECT id FROM mem WHERE live = 0)),
+counted AS (SELECT id, sum(o) AS links_out, sum(1 - o) AS links_in FROM (SELECT source AS id, 1 AS o FROM sup UNION ALL SELECT target, 0 FROM sup) GROUP BY 1),
+above AS (SELECT id AS current_id, id FROM counted WHERE links_in = 0 UNION SELECT current_id, target FROM above JOIN sup ON source = id),
+ways AS (SELECT id, 0 AS k FROM counted WHERE links_in = 0 UNION SELECT target, k + 1 FROM ways JOIN sup ON source = id WHERE k < 64),
+walks AS (SELECT id, 0 AS k FROM counted UNION SELECT target, k + 1 FROM walks JOIN sup ON source = id WHERE k < 64)
+SELECT id, CASE WHEN links_in = 0 THEN 'current' WHEN a IS NULL THEN 'loop' ELSE 'superseded' END AS state, cast(links_out AS BIGINT) AS links_out, cast(links_in AS BIGINT) AS links_in, a AS first_current_id, b AS last_current_id, cast(near AS BIGINT) AS near, cast(nullif(k, 64) AS BIGINT) AS chain
+FROM counted LEFT JOIN (SELECT id, min(current_id) AS a, max(current_id) AS b FROM above GROUP BY 1) USING (id) LEFT JOIN (SELECT id, min(k) AS near FROM ways GROUP BY 1) USING (id) LEFT JOIN (SELECT id, max(k) AS k FROM walks GROUP BY 1) USING (id)""", "edges", "mem")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return G.authority(M.edges(s, d))
+    return G.authority(M.edges(s, d), M.memories(s, d))
 
 
-SQL["gr_02_authority"] = SQL["gr_02_authority"].replace("WITH ", "WITH RECURSIVE ", 1).replace(" , RECURSIVE_LINKS", ", RECURSIVE_LINKS", 1)
+SQL["gr_02_authority"] = SQL["gr_02_authority"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("gr_04_stale_companions", """SELECT operation_id, target, weight, cast(rank AS INTEGER) AS rank FROM (SELECT operation_id, target, weight, row_number() OVER (PARTITION BY operation_id ORDER BY weight DESC NULLS LAST, target) AS rank FROM (

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import numpy as np
@@ -126,12 +127,38 @@ EDGES = "source string, target string, type string, weight double"
 def test_links_and_authority(spark, as_rows):
     e = spark.createDataFrame([("b", "a", "supersedes", 1.0), ("c", "b", "corrects", 0.5), ("d", "b", "corrects", None), ("x", "y", "corrects", 1.0), ("y", "x", "corrects", 1.0), ("p", "q", "updates", 1.0)], EDGES)
     assert as_rows(aggregates.link_summary(e).where("id = 'b'")) == [("b", "corrects", 0, 2, 0.0, 0.5), ("b", "supersedes", 1, 0, 1.0, 0.0)]
-    got = {r["id"]: (r["state"], r["chain"]) for r in graph.authority(e).collect()}
-    assert got == {"a": ("superseded", 2), "b": ("superseded", 1), "c": ("current", 0), "d": ("current", 0), "x": ("superseded", 8), "y": ("superseded", 8)}
-    assert graph.authority(spark.createDataFrame([], EDGES)).count() == 0
+    m = spark.createDataFrame([(i, 0) for i in "abcdxypq"], "id string, live int")
+    got = {r["id"]: tuple(r)[1:] for r in graph.authority(e, m).collect()}
+    assert got == {"a": ("superseded", 0, 1, "c", "d", 2, 2), "b": ("superseded", 1, 2, "c", "d", 1, 1), "c": ("current", 1, 0, "c", "c", 0, 0), "d": ("current", 1, 0, "d", "d", 0, 0), "x": ("loop", 1, 1, None, None, None, None), "y": ("loop", 1, 1, None, None, None, None)}
+    assert graph.authority(spark.createDataFrame([], EDGES), m).count() == 0
+    assert graph.authority(e, m.where("id not in ('c', 'x', 'd')")).select("id", "state").sort("id").collect() == [("a", "superseded"), ("b", "current")]
     assert as_rows(graph.link_shape(e).where("type = 'corrects'")) == [("corrects", 4, 2, 5, 2)]
 
 
+def test_authority_against_brute_force(spark):
+    """Random links with loops, a chain of 300 and a hub, against walks over sets."""
+    rng = random.Random(5)
+    links = {(rng.randrange(60), rng.randrange(60)) for _ in range(70)} | {(i, i + 1) for i in range(100, 400)} | {(120, 399), (500, 60), (60, 501)} | {(i, 60) for i in range(600, 640)} | {(60, i) for i in range(640, 660)}
+    links = {(f"m{a:03}", f"m{b:03}") for a, b in links if a != b}
+    ids = {x for e in links for x in e}
+    into = {i: {a for a, b in links if b == i} for i in ids}
+    e = spark.createDataFrame([(a, b, rng.choice(["supersedes", "corrects"]), None) for a, b in links], EDGES)
+    got = {r["id"]: r for r in graph.authority(e, spark.createDataFrame([(i, 0) for i in ids], "id string, live int")).collect()}
+    assert set(got) == ids
+    for i in ids:
+        level, seen, near = {i}, set(), None
+        for k in range(len(ids) + 1):
+            if near is None and any(not into[x] for x in level):
+                near = k
+            seen |= level
+            level = set().union(*(into[x] for x in level))
+            if not level:
+                break
+        tops = sorted(x for x in seen if not into[x])
+        state = "current" if not into[i] else "superseded" if tops else "loop"
+        assert (got[i]["state"], got[i]["first_current_id"], got[i]["last_current_id"], got[i]["near"], got[i]["chain"]) == (state, tops[0] if tops else None, tops[-1] if tops else None, near, None if level else k), i
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 8)).round(2)
