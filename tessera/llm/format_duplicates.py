@@ -114,9 +114,13 @@ def _bucketed(partial: DataFrame, most: int) -> DataFrame:
         left, n = cut(rows.where(further).drop("bucket", "large"), "oversized"), 2 * n
 
 
-def count_copies(notes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """digest, copies (distinct ids) and group_id (the smallest id) of every note of :func:`notes_of`."""
-    rows = notes.dropDuplicates(["id", "digest"]).select("id", F.col("note").cast("binary").alias("note"), "digest")
+def _distinct(notes: DataFrame) -> DataFrame:
+    """One row per id and note of :func:`notes_of`."""
+    return notes.dropDuplicates(["id", "digest"]).select("id", F.col("note").cast("binary").alias("note"), "digest")
+
+
+def count_copies(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """digest, copies (distinct ids) and group_id (the smallest id) of every note of rows, which have each id and note once."""
     partial = cut(rows.mapInPandas(_add_up, _PARTIAL), "notes")
     named = _bucketed(partial, bucket_rows).select("bucket", "note", "digest", "copies", "first_id")
     return named.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_count, "digest binary, copies long, group_id string")
@@ -127,14 +131,14 @@ def unique_records(memories: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
 
     Rows without an id (null, blank) or text (null) have no note and are left out; an empty text is a note. Repeated rows and versions of an id count once. An id with two different notes is in both. Null and blank namespaces are ``global``. Other columns are ignored; an empty table gives an empty result.
     """
-    return count_copies(notes_of(memories), bucket_rows).select("group_id", "copies")
+    return count_copies(_distinct(notes_of(memories)), bucket_rows).select("group_id", "copies")
 
 
 def duplicate_members(memories: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """memory_id, group_id and copies of every id whose note is that of another id too; see :func:`unique_records`.
 
-    The groups are joined to the ids by the note's digest; one digest with many ids is split by Spark's skew join.
+    The canonical notes are written once; what is counted and the ids that the groups are joined to by digest are read from there. One digest with many ids is split by Spark's skew join.
     """
-    notes = notes_of(memories)
-    groups = count_copies(notes, bucket_rows).where("copies > 1")
-    return notes.select("id", "digest").join(groups, "digest").select(F.col("id").alias("memory_id"), "group_id", "copies").distinct()
+    rows = cut(_distinct(notes_of(memories)), "distinct")
+    groups = count_copies(rows, bucket_rows).where("copies > 1")
+    return rows.select("id", "digest").join(groups, "digest").select(F.col("id").alias("memory_id"), "group_id", "copies").distinct()
