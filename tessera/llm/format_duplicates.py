@@ -50,34 +50,37 @@ def _frame(held: dict[bytes, list]) -> pd.DataFrame:
 
 
 class Trie:
-    """Counts byte strings; an edge spans up to ``_EDGE`` bytes, a node is a dict of edges, and the key None holds the counter of the string that ends there."""
+    """Counts byte strings; an edge spans up to ``_EDGE`` bytes. Under an edge there is the counter of the only string below it, with the string, or, once there are several, a node, a dict of edges."""
 
     def __init__(self) -> None:
         self.root: dict = {}
 
     def add(self, key: bytes, start: int, digest: bytes, copies: int, first_id: str) -> None:
-        node = self.root
-        for i in range(start, len(key), _EDGE):
+        node, i = self.root, start
+        while True:
             edge = key[i : i + _EDGE]
-            after = node.get(edge)
-            if after is None:
-                after = node[edge] = {}
-            node = after
-        end = node.get(None)
-        if end is None:
-            node[None] = [digest, copies, first_id]
-        else:
-            end[1] += copies
-            end[2] = min(end[2], first_id)
+            below = node.get(edge)
+            i += _EDGE
+            if below is None:
+                node[edge] = [key, digest, copies, first_id]
+                return
+            if type(below) is dict:
+                node = below
+            elif below[0] == key:
+                below[2] += copies
+                below[3] = min(below[3], first_id)
+                return
+            else:
+                node[edge] = node = {below[0][i : i + _EDGE]: below}
 
     def ends(self) -> Iterator[list]:
         stack = [self.root]
         while stack:
-            for edge, below in stack.pop().items():
-                if edge is None:
-                    yield below
-                else:
+            for below in stack.pop().values():
+                if type(below) is dict:
                     stack.append(below)
+                else:
+                    yield below[1:]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -440,3 +441,17 @@ def test_mix(spark, per_range):
     assert m.count() == 0 and s.where("actual_share is null").count() == 3
     m, s = mixture.mix(df, targets.limit(0))
     assert m.count() == 0 and s.count() == 0
+
+
+def test_trie_against_counter():
+    """Byte strings that are prefixes of one another, repeated, empty and of a single letter."""
+    rng = random.Random(1)
+    for letters in (b"a", b"ab", b"abcdefgh"):
+        for _ in range(50):
+            trie, copies, first = format_duplicates.Trie(), Counter(), {}
+            for _ in range(60):
+                key, i, n = bytes(rng.choice(letters) for _ in range(rng.randrange(40))), str(rng.randrange(1000)), rng.randrange(1, 5)
+                trie.add(b"xx" + key, 2, key, n, i)
+                copies[key] += n
+                first[key] = min(first.get(key, i), i)
+            assert sorted(map(tuple, trie.ends())) == sorted((k, copies[k], first[k]) for k in copies)
