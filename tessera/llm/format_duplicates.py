@@ -20,6 +20,8 @@ BUCKET_ROWS = 20_000
 FIRST_BYTES = 8
 #: Distinct notes that a task adds up before it passes them on.
 _HELD = 100_000
+#: Counters that a task passes on at a time, at least.
+_BATCH = 10_000
 #: Bytes an edge of the trie spans.
 _EDGE = 8
 
@@ -84,21 +86,19 @@ class Trie:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts the buckets of a task, which come one after another."""
-
-    def out(trie: Trie) -> pd.DataFrame:
-        return pd.DataFrame(list(trie.ends()), columns=["digest", "copies", "group_id"])
-
-    bucket, trie = None, Trie()
+    """Counts the buckets of a task, which come one after another; counters are passed on in batches of many buckets."""
+    bucket, trie, ready = None, Trie(), []
     for pdf in batches:
-        for b, key, digest, copies, first_id in zip(pdf["bucket"], pdf["note"], pdf["digest"], pdf["copies"], pdf["first_id"], strict=True):
+        for b, key, digest, copies, first_id in zip(*(pdf[c].tolist() for c in ("bucket", "note", "digest", "copies", "first_id")), strict=True):
             if b != bucket:
-                if bucket is not None:
-                    yield out(trie)
+                ready.extend(trie.ends())
                 bucket, trie = b, Trie()
             trie.add(key, len(b), digest, copies, first_id)
-    if bucket is not None:
-        yield out(trie)
+        if len(ready) >= _BATCH:
+            yield pd.DataFrame(ready, columns=["digest", "copies", "group_id"])
+            ready = []
+    ready.extend(trie.ends())
+    yield pd.DataFrame(ready, columns=["digest", "copies", "group_id"])
 
 
 def _bucketed(partial: DataFrame, most: int) -> DataFrame:
