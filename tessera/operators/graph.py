@@ -62,6 +62,18 @@ def authority(edges: DataFrame, memories: DataFrame) -> DataFrame:
     return rows.select("id", state.alias("state"), "links_out", "links_in", F.col("first").alias("first_current_id"), F.col("last").alias("last_current_id"), "near", F.col("far").alias("chain"))
 
 
+def current_of_asks(uses: DataFrame, edges: DataFrame, memories: DataFrame) -> DataFrame:
+    """Per ask with active results: results (distinct, active), superseded (those that current memories replace), and current_id: the one memory that stands in the place of all of them, null if there are several or only loops.
+
+    A result without superseding links, or a current one, stands for itself. Missing and deprecated results are left out. Whether there is one follows from the smallest and the largest, so no lists are formed.
+    """
+    rows = uses.select("operation_id", F.col("memory_id").alias("id")).distinct().join(memories.where("live = 0").select("id"), "id", "left_semi")
+    known = authority(edges, memories).select("id", "state", "first_current_id", "last_current_id")
+    own = lambda c: F.when(F.col("state").isNull(), F.col("id")).otherwise(F.col(c))
+    per = rows.join(known, "id", "left").groupBy("operation_id").agg(F.count("*").alias("results"), F.count_if(F.coalesce(F.col("state") == "superseded", F.lit(False))).alias("superseded"), F.min(own("first_current_id")).alias("a"), F.max(own("last_current_id")).alias("b"))
+    return per.select("operation_id", "results", "superseded", F.when(F.col("a") == F.col("b"), F.col("a")).alias("current_id"))
+
+
 def stale_companions(uses: DataFrame, edges: DataFrame, memories: DataFrame, n: int = 3) -> DataFrame:
     """The active memories that each ask's results supersede, correct or update and that aren't results of it themselves; the n heaviest links' of each ask."""
     linked = edges.where(F.col("type").isin(*SUPERSEDING, "updates")).groupBy("source", "target").agg(F.max("weight").alias("weight"))

@@ -340,6 +340,17 @@ def _(s: SparkSession, d: str) -> DataFrame:
 SQL["gr_02_authority"] = SQL["gr_02_authority"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+@query("gr_03_current_of_asks", """, sup AS (SELECT DISTINCT source, target FROM edges WHERE type IN ('supersedes', 'corrects') AND source IN (SELECT id FROM mem WHERE live = 0) AND target IN (SELECT id FROM mem WHERE live = 0)),
+above AS (SELECT id AS current_id, id FROM mem WHERE live = 0 AND id NOT IN (SELECT target FROM sup) UNION SELECT current_id, target FROM above JOIN sup ON source = id)
+SELECT operation_id, count(DISTINCT u.id) AS results, count(DISTINCT u.id) FILTER (current_id <> u.id) AS superseded, CASE WHEN count(DISTINCT current_id) = 1 THEN min(current_id) END AS current_id
+FROM (SELECT DISTINCT operation_id, memory_id AS id FROM uses WHERE memory_id IN (SELECT id FROM mem WHERE live = 0)) u LEFT JOIN above USING (id) GROUP BY 1""", "uses", "edges", "mem")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return G.current_of_asks(M.uses(_asks(s, d)), M.edges(s, d), M.memories(s, d))
+
+
+SQL["gr_03_current_of_asks"] = SQL["gr_03_current_of_asks"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("gr_04_stale_companions", """SELECT operation_id, target, weight, cast(rank AS INTEGER) AS rank FROM (SELECT operation_id, target, weight, row_number() OVER (PARTITION BY operation_id ORDER BY weight DESC NULLS LAST, target) AS rank FROM (
   SELECT operation_id, e.target, max(e.weight) AS weight FROM (SELECT DISTINCT operation_id, memory_id FROM uses) u JOIN edges e ON e.source = memory_id AND type IN ('supersedes', 'corrects', 'updates') GROUP BY 1, 2) c
   WHERE (operation_id, target) NOT IN (SELECT operation_id, memory_id FROM uses) AND target IN (SELECT id FROM mem WHERE live = 0)) WHERE rank <= 3""", "uses", "edges", "mem")

@@ -132,6 +132,9 @@ def test_links_and_authority(spark, as_rows):
     assert got == {"a": ("superseded", 0, 1, "c", "d", 2, 2), "b": ("superseded", 1, 2, "c", "d", 1, 1), "c": ("current", 1, 0, "c", "c", 0, 0), "d": ("current", 1, 0, "d", "d", 0, 0), "x": ("loop", 1, 1, None, None, None, None), "y": ("loop", 1, 1, None, None, None, None)}
     assert graph.authority(spark.createDataFrame([], EDGES), m).count() == 0
     assert graph.authority(e, m.where("id not in ('c', 'x', 'd')")).select("id", "state").sort("id").collect() == [("a", "superseded"), ("b", "current")]
+    uses = spark.createDataFrame([("1", "a"), ("1", "c"), ("2", "b"), ("2", "gone"), ("3", "q"), ("3", "q"), ("4", "x"), ("5", "p"), ("5", "q")], "operation_id string, memory_id string")
+    just_c = m.where("id <> 'd'")
+    assert as_rows(graph.current_of_asks(uses, e, just_c)) == [("1", 2, 1, "c"), ("2", 1, 1, "c"), ("3", 1, 0, "q"), ("4", 1, 0, None), ("5", 2, 0, None)]
     assert as_rows(graph.link_shape(e).where("type = 'corrects'")) == [("corrects", 4, 2, 5, 2)]
 
 
