@@ -107,3 +107,11 @@ def overlap(a: Column, b: Column) -> Column:
     """Common members of two sets by those of the smaller; 0 if either is empty."""
     least = F.least(F.size(a), F.size(b))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
+
+
+def phrases(c: Column | str, most: int = 3, least: int = 1, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Distinct runs of least to most neighbouring words, stopwords and words of one letter dropped before, the longer runs first; empty for null."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ")
+    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
+    runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(kept), F.lit(1))), lambda i: i <= F.size(kept) - n + 1), lambda i: F.array_join(F.slice(kept, i, n), " "))
+    return F.array_distinct(F.concat(*[runs(n) for n in range(most, least - 1, -1)]))

@@ -6,6 +6,9 @@ from functools import reduce
 from operator import add, and_
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,29 +95,61 @@ def _fold(key: str, folds: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(folds))
 
 
+def _for_other_folds(rows: DataFrame, folds: int) -> DataFrame:
+    """Each row, which stands for a fold, once for each of the other folds."""
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long")), lambda f: f != F.col("fold"))
+    return rows.withColumn("fold", F.explode(others))
+
+
 def naive_bayes(samples: DataFrame, folds: int = 5) -> DataFrame:
-    """Multinomial naive Bayes with Laplace smoothing, trained on all samples but those of fold 0 and applied to these: id, label, predicted.
+    """Multinomial naive Bayes with Laplace smoothing, each sample predicted by what the samples of the other folds give: id, label, predicted.
 
-    samples: id, label, terms (a set). Folds go by a hash of the id. Counts and log-likelihoods are joins and sums; the model is one row per label and term. A term that no training sample has is left out; a tie goes to the label that comes first.
+    samples: id, label, terms (a set). Folds go by a hash of the id. Counts are added up per fold, label and term and only then passed on to the other folds; likelihoods are joins and sums. A null label is left out, and so is a term that no sample of the other folds has; a tie goes to the label that comes first. Labels of all folds are sent to every task if there are at most 10,000 rows of them, and joined else.
     """
     rows = samples.where("label is not null").withColumn("fold", _fold("id", folds))
-    train, test = rows.where("fold <> 0"), rows.where("fold = 0")
-    counts = train.select("label", F.explode("terms").alias("term")).groupBy("label", "term").agg(F.count("*").alias("n"))
-    vocabulary = counts.select("term").distinct()
-    labels = train.groupBy("label").agg(F.count("*").alias("docs")).join(counts.groupBy("label").agg(F.sum("n").alias("terms")), "label", "left").na.fill(0)
-    size = vocabulary.agg(F.count("*").alias("v"))
-    whole = Window.partitionBy(F.lit(0))
-    # one row per label
-    labels = labels.withColumn("one", F.lit(1)).join(size.withColumn("one", F.lit(1)), "one").withColumn("prior", F.log(F.col("docs") / F.sum("docs").over(whole)))
-    words = test.select("id", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
-    known = words.join(counts, "term").join(labels.select("label", "terms", "v"), "label").select("id", "label", F.log((F.col("n") + 1) / (F.col("terms") + F.col("v"))).alias("l"), F.log(1 / (F.col("terms") + F.col("v"))).alias("l0"))
-    gain = known.groupBy("id", "label").agg(F.sum(F.col("l") - F.col("l0")).alias("gain"))
-    n_words = words.groupBy("id").agg(F.count("*").alias("words"))
-    base = test.select("id", F.col("label").alias("actual"), F.lit(1).alias("one")).join(n_words, "id", "left").na.fill(0, ["words"]).join(labels, "one")
-    scored = base.join(gain, ["id", "label"], "left")
-    score = F.round(F.col("prior") + F.coalesce("gain", F.lit(0.0)) + F.col("words") * F.log(1 / (F.col("terms") + F.col("v"))), 6)
+    words = rows.select("id", "fold", "label", F.explode("terms").alias("term"))
+    own = words.groupBy("fold", "label", "term").agg(F.count("*").alias("n"))
+    counts = cut(_for_other_folds(own, folds).groupBy("fold", "label", "term").agg(F.sum("n").alias("n")), "terms")
+    vocabulary = counts.select("fold", "term").distinct()
+    labels = _for_other_folds(rows.groupBy("fold", "label").agg(F.count("*").alias("docs")), folds).groupBy("fold", "label").agg(F.sum("docs").alias("docs"))
+    labels = labels.join(counts.groupBy("fold", "label").agg(F.sum("n").alias("terms")), ["fold", "label"], "left").join(vocabulary.groupBy("fold").agg(F.count("*").alias("v")), "fold", "left").na.fill(0)
+    labels = cut(labels.withColumn("prior", F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy("fold")))), "labels")
+    model = F.broadcast(labels) if labels.count() <= 10_000 else labels
+    least = F.log(1 / (F.col("terms") + F.col("v")))
+    heard = words.drop("label").join(vocabulary, ["fold", "term"], "left_semi")
+    gain = heard.join(counts, ["fold", "term"]).join(model, ["fold", "label"]).groupBy("id", "label").agg(F.sum(F.log((F.col("n") + 1) / (F.col("terms") + F.col("v"))) - least).alias("gain"))
+    n_words = heard.groupBy("id").agg(F.count("*").alias("words"))
+    base = rows.select("id", "fold", F.col("label").alias("actual")).join(n_words, "id", "left").na.fill(0, ["words"]).join(model, "fold")
+    score = F.round(F.col("prior") + F.coalesce("gain", F.lit(0.0)) + F.when(F.col("words") > 0, F.col("words") * least).otherwise(F.lit(0.0)), 6)
     best = F.min(F.struct((-score).alias("s"), F.col("label").alias("predicted")))
-    return scored.groupBy("id", F.col("actual").alias("label")).agg(best.alias("b")).select("id", "label", "b.predicted")
+    return base.join(gain, ["id", "label"], "left").groupBy("id", F.col("actual").alias("label")).agg(best.alias("b")).select("id", "label", "b.predicted")
+
+
+def softmax(vectors: DataFrame, folds: int = 5, l2: float = 0.001, rounds: int = 100) -> DataFrame:
+    """Each vector's label and what a softmax model of the other folds takes it for: vec_id, label, predicted (as a string).
+
+    vectors: vec_id, label, embedding. A fold's model is trained by Spark's own multinomial regression, whose gradients are summed up where the rows lie. Null labels, null or incomplete vectors, and those of another length than the most frequent one (the shorter of two) are left out; where the other folds have no rows, nothing is predicted (null).
+    """
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (F.size("embedding") > 0)
+    rows = vectors.where("label is not null").where(whole)
+    common = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    schema = f"vec_id {dict(vectors.dtypes)['vec_id']}, label string, predicted string"
+    if common is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    x = array_to_vector(F.transform("embedding", lambda v: v.cast("double")))
+    rows = cut(rows.where(F.size("embedding") == common["size"]).select("vec_id", F.col("label").cast("string").alias("label"), "embedding", _fold("vec_id", folds).alias("fold")), "samples")
+    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
+    names = F.array(*[F.lit(n) for n in index.labels])
+    shaped, per_fold = index.transform(rows.withColumn("x", x)), {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    parts = []
+    for fold in sorted(per_fold):
+        own = shaped.where(F.col("fold") == fold)
+        if len(per_fold) == 1:
+            parts.append(own.select("vec_id", "label", F.lit(None).cast("string").alias("predicted")))
+            continue
+        model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=l2, maxIter=rounds).fit(shaped.where(F.col("fold") != fold))
+        parts.append(model.transform(own).select("vec_id", "label", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def confusion(predictions: DataFrame) -> DataFrame:

@@ -451,7 +451,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return O.threshold_sweep(rows, "confidence", "positive")
 
 
-@query("la_19_naive_bayes", None)
+@query("la_19_naive_bayes", f""", x AS (SELECT id, memory_type AS label, {_CONTENT("text")} AS t, cast(concat('0x', substr(md5(id), 1, 8)) AS BIGINT) % 5 AS fold FROM mem WHERE memory_type IS NOT NULL), f AS (SELECT unnest(range(5)) AS f), u AS (SELECT id, fold, label, unnest(t) AS w FROM x),
+c AS (SELECT f AS fold, label, w, count(*) AS n FROM u JOIN f ON fold <> f GROUP BY 1, 2, 3), l AS (SELECT f AS fold, label, count(*) AS docs FROM x JOIN f ON fold <> f GROUP BY 1, 2),
+m AS (SELECT fold, label, ln(docs / sum(docs) OVER (PARTITION BY fold)) AS prior, coalesce(terms, 0) AS terms, v FROM l LEFT JOIN (SELECT fold, label, sum(n) AS terms FROM c GROUP BY 1, 2) USING (fold, label) LEFT JOIN (SELECT fold, count(DISTINCT w) AS v FROM c GROUP BY 1) USING (fold)),
+h AS (SELECT id, fold, w FROM u WHERE (fold, w) IN (SELECT (fold, w) FROM c)), k AS (SELECT id, count(*) AS words FROM h GROUP BY 1),
+g AS (SELECT id, m.label AS p, sum(ln((n + 1) / (terms + v)) - ln(1 / (terms + v))) AS gain FROM h JOIN c USING (fold, w) JOIN m ON m.fold = h.fold AND m.label = c.label GROUP BY 1, 2),
+s AS (SELECT x.id, x.label, m.label AS p, round(prior + coalesce(gain, 0) + coalesce(words, 0) * ln(1 / (terms + v)), 6) AS s FROM x JOIN m USING (fold) LEFT JOIN g ON g.id = x.id AND g.p = m.label LEFT JOIN k ON k.id = x.id)
+SELECT label, predicted, count(*) AS n FROM (SELECT id, label, first(p ORDER BY s DESC, p) AS predicted FROM s GROUP BY 1, 2) GROUP BY 1, 2""", "mem")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Memory types told from terms: how often each is taken for which."""
     samples = M.memories(s, d).select("id", F.col("memory_type").alias("label"), T.content_tokens("text").alias("terms"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import phrases
+from tessera.operators import outcomes as O
+from tessera.operators.geometry import loops, main_directions
 from tessera.operators.pairs import claims, similar_groups, similar_pairs
 from tessera.plans import memory as P
-from tessera.plans.memory import _CTE, _TOKENS, _USABLE_SQL, _usable
+from tessera.plans.memory import _CTE, _STOP, _TOKENS, _USABLE_SQL, _asks, _usable, _with
 from tessera.sources import memory as M
+from tessera.sources.tables import table
 
 QUERIES: dict[str, P.Query] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +53,32 @@ def _(s: SparkSession, d: str) -> DataFrame:
     """Every claim with the group of similar ones it belongs to."""
     rows = _claims(s, d)
     return similar_groups(rows, similar_pairs(rows, _usable(s, d)))
+
+
+_WORDS = f"list_filter({_TOKENS('query').replace('list_distinct(', '(', 1)}, lambda w: w NOT IN ({_STOP}))"
+_RUNS = lambda n: f"list_transform(range(1, len(t) - {n - 2}), lambda i: array_to_string(t[i:i + {n - 1}], ' '))"
+
+
+@query("wf_08_phrases", f"{_with('asks')} SELECT phrase, count(*) AS asks FROM (SELECT unnest(list_distinct(list_concat({_RUNS(1)}, {_RUNS(2)}, {_RUNS(3)}))) AS phrase FROM (SELECT {_WORDS} AS t FROM asks)) GROUP BY 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """In how many asks each phrase of one to three words is."""
+    return _asks(s, d).select(F.explode(phrases("query")).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("asks"))
+
+
+@query("wf_07_longest_phrases", f"{_with('asks')} SELECT operation_id, list_distinct(list_concat({_RUNS(3)}, {_RUNS(2)})).list_sort().array_to_string('|') AS phrases FROM (SELECT operation_id, {_WORDS} AS t FROM asks)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The phrases of two and three words of each ask, in alphabetical order."""
+    return _asks(s, d).select("operation_id", F.array_join(F.array_sort(phrases("query", 3, 2)), "|").alias("phrases"))
+
+
+@query("la_20_softmax")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """How often each label of embeddings is taken for which by a softmax model of the other folds."""
+    return O.confusion(O.softmax(table(s, d, "embeddings")))
+
+
+@query("og_01_loops")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Loops of three neighbouring domains, and how far their main directions fail to fit."""
+    rows = _usable(s, d).join(M.memories(s, d).select("id", F.col("domain_id").alias("group")), "id")
+    return loops(main_directions(rows))
