@@ -115,3 +115,9 @@ def phrases(c: Column | str, most: int = 3, least: int = 1, stopwords: tuple[str
     kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
     runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(kept), F.lit(1))), lambda i: i <= F.size(kept) - n + 1), lambda i: F.array_join(F.slice(kept, i, n), " "))
     return F.array_distinct(F.concat(*[runs(n) for n in range(most, least - 1, -1)]))
+
+
+def pieces(c: Column | str) -> Column:
+    """A text's sentences: parts that end in a full stop, an exclamation or a question mark before a blank, or at a line break, without blanks at their ends; none is empty."""
+    lines = F.regexp_replace(F.coalesce(_c(c), F.lit("")), f"([.!?]){BLANK}+", "$1\n")
+    return F.filter(F.transform(F.split(lines, r"[\r\n]+"), lambda p: F.regexp_replace(p, f"^{BLANK}+|{BLANK}+$", "")), lambda p: F.length(p) > 0)

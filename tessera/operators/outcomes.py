@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import month_name, month_of
-from tessera.functions.text import content_tokens
+from tessera.functions.text import content_tokens, coverage, pieces, stems
 from tessera.functions.vectors import dot, norm
 from tessera.operators.moments import element_sums
 from tessera.storage import cut
@@ -91,6 +91,39 @@ def threshold_sweep(rows: DataFrame, score: str, positive: str, steps: int = 10)
     return out.withColumns({"precision": F.round(F.try_divide("true_positives", F.col("true_positives") + F.col("false_positives")), 6), "recall": F.round(F.try_divide("true_positives", F.col("true_positives") + F.col("false_negatives")), 6)})
 
 
+def two_thresholds(rows: DataFrame, first: str, second: str, positive: str, steps: int = 10) -> DataFrame:
+    """passed and passed_positive, the rows with both scores (0..1) at or above each pair of thresholds 0, 1 / steps ... 1: first_threshold, second_threshold. Rows are counted per pair of steps and these few counts summed up along both; rows with a null count nowhere."""
+    at = lambda c: F.least(F.lit(steps), F.greatest(F.lit(0), F.floor(F.round(F.col(c) * steps, 9)))).cast("int")
+    have = rows.dropna(subset=[first, second, positive]).groupBy(at(first).alias("a"), at(second).alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col(positive)).alias("p"))
+    k = steps + 1
+    grid = rows.sparkSession.range(k * k).select(F.floor(F.col("id") / k).cast("int").alias("a"), (F.col("id") % k).cast("int").alias("b")).join(have, ["a", "b"], "left").na.fill(0)
+    for one, other in (("a", "b"), ("b", "a")):
+        w = Window.partitionBy(one).orderBy(F.desc(other))
+        grid = grid.withColumns({c: F.sum(c).over(w) for c in ("n", "p")})
+    return grid.select((F.col("a") / steps).alias("first_threshold"), (F.col("b") / steps).alias("second_threshold"), F.col("n").alias("passed"), F.col("p").alias("passed_positive"))
+
+
+def best_pieces(uses: DataFrame, memories: DataFrame) -> DataFrame:
+    """operation_id, memory_id, piece and score of the sentence among an ask's results that has most of the words of its query: the number of common stems and the part of the query's, then the better rank, the earlier sentence. Asks whose results have no text, or whose queries are null, are left out.
+
+    Sentences are scored where their row lies and one per ask leaves each task.
+    """
+    asked = uses.where("query is not null").join(memories.select(F.col("id").alias("memory_id"), "text"), "memory_id")
+    each = asked.withColumn("q", stems("query")).select("operation_id", "memory_id", "rank", "q", F.posexplode(pieces("text")).alias("at", "piece"))
+    there = stems("piece")
+    score = F.round(F.size(F.array_intersect("q", there)) + coverage(F.col("q"), there), 6)
+    best = F.min(F.struct((-score).alias("s"), F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), "memory_id", "at", "piece")).alias("b")
+    return each.groupBy("operation_id").agg(best).select("operation_id", "b.memory_id", "b.piece", (-F.col("b.s")).alias("score"))
+
+
+def source_scores(uses: DataFrame, feedback: DataFrame, sources: DataFrame) -> DataFrame:
+    """operation_id, expected and present of each ask with good feedback (a rating above 0) on memories with a source: these sources, and those of them that the ask's results have."""
+    of = sources.where("source is not null").select(F.col("id").alias("memory_id"), "source")
+    good = feedback.where("rating > 0 and memory_id is not null").select(F.col("linked_operation_id").alias("operation_id"), "memory_id").join(of, "memory_id").select("operation_id", "source").distinct()
+    have = uses.join(of, "memory_id").select("operation_id", "source").distinct().withColumn("there", F.lit(True))
+    return good.where("operation_id is not null").join(have, ["operation_id", "source"], "left").groupBy("operation_id").agg(F.count("*").alias("expected"), F.count("there").alias("present"))
+
+
 def _fold(key: str, folds: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(folds))
 

@@ -10,7 +10,7 @@ from tessera.operators import outcomes as O
 from tessera.operators.geometry import loops, main_directions
 from tessera.operators.pairs import claims, similar_groups, similar_pairs
 from tessera.plans import memory as P
-from tessera.plans.memory import _CTE, _STOP, _TOKENS, _USABLE_SQL, _asks, _usable, _with
+from tessera.plans.memory import _CTE, _STEMS, _STOP, _TOKENS, _USABLE_SQL, _asks, _usable, _with
 from tessera.sources import memory as M
 from tessera.sources.tables import table
 
@@ -82,3 +82,34 @@ def _(s: SparkSession, d: str) -> DataFrame:
     """Loops of three neighbouring domains, and how far their main directions fail to fit."""
     rows = _usable(s, d).join(M.memories(s, d).select("id", F.col("domain_id").alias("group")), "id")
     return loops(main_directions(rows))
+
+
+@query("la_32_two_thresholds", f"""{_with("fb", "asks", "uses")}, r AS (SELECT confidence, score, rating > 0 AS good FROM fb JOIN asks ON asks.operation_id = linked_operation_id JOIN (SELECT operation_id, memory_id, max(score) AS score FROM uses GROUP BY 1, 2) u ON u.operation_id = linked_operation_id AND u.memory_id = fb.memory_id WHERE rating IS NOT NULL AND confidence IS NOT NULL AND score IS NOT NULL),
+g AS (SELECT a / 10 AS first_threshold, b / 10 AS second_threshold FROM (SELECT unnest(range(11)) AS a), (SELECT unnest(range(11)) AS b)) SELECT first_threshold, second_threshold, count(confidence) AS passed, count(*) FILTER (good) AS passed_positive FROM g LEFT JOIN r
+ON least(greatest(floor(round(confidence * 10, 9)), 0), 10) >= round(first_threshold * 10) AND least(greatest(floor(round(score * 10, 9)), 0), 10) >= round(second_threshold * 10) GROUP BY 1, 2""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """How much of the rated results, and of the good ones, two thresholds let through: the ask's confidence and the result's score."""
+    log = M.log(s, d)
+    asks = M.asks(log)
+    u = M.uses(asks).groupBy("operation_id", "memory_id").agg(F.max("score").alias("score"))
+    rated = M.feedback(log).where("rating is not null").select(F.col("linked_operation_id").alias("operation_id"), "memory_id", (F.col("rating") > 0).alias("good"))
+    return O.two_thresholds(rated.join(u, ["operation_id", "memory_id"]).join(asks.select("operation_id", "confidence"), "operation_id"), "confidence", "score", "good")
+
+
+@query("la_43_source_scores", f"""{_with("fb", "uses", "src")} SELECT operation_id, count(*) AS expected, count(there) AS present FROM (SELECT DISTINCT linked_operation_id AS operation_id, source FROM fb JOIN src ON src.id = fb.memory_id WHERE rating > 0 AND source IS NOT NULL AND linked_operation_id IS NOT NULL)
+LEFT JOIN (SELECT DISTINCT operation_id, source, true AS there FROM uses JOIN src ON src.id = memory_id WHERE source IS NOT NULL) USING (operation_id, source) GROUP BY 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """How many of the sources that an ask's good feedback names are among its results."""
+    log = M.log(s, d)
+    return O.source_scores(M.uses(M.asks(log)), M.feedback(log), M.sources(s, d))
+
+
+_B = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+
+
+@query("tf_25_best_pieces", f"""{_with("uses", "mem")}, p AS (SELECT operation_id, memory_id, rank, query, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM (SELECT operation_id, memory_id, rank, query, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?]){_B}+', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda x: regexp_replace(x, '^{_B}+|{_B}+$', '', 'g')), lambda x: length(x) > 0) AS l FROM uses JOIN mem ON mem.id = memory_id WHERE query IS NOT NULL AND text IS NOT NULL)),
+q AS (SELECT *, {_STEMS("query")} AS a, {_STEMS("piece")} AS b FROM p), r AS (SELECT *, round(len(list_intersect(a, b)) + CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 6) AS score FROM q)
+SELECT operation_id, memory_id, piece, score FROM (SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY score DESC, rank NULLS LAST, memory_id, pos, piece) AS v FROM r) WHERE v = 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The sentence of each ask's results that has most of the query's words."""
+    return O.best_pieces(M.uses(_asks(s, d)), M.memories(s, d))

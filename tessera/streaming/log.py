@@ -44,6 +44,35 @@ def link_feedback(asks: DataFrame, feedback: DataFrame, late: str = "7 days") ->
     return f.join(a, near)
 
 
+def last_values(rows: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """The latest values of each key; of rows at one time the largest count. A state is one row per key, kept as long as the stream runs, since a key may always come again. Null keys and times are left out."""
+    return rows.dropna(subset=[key, at]).groupBy(key).agg(F.max(F.struct(at, *columns)).alias("v")).select(key, "v.*")
+
+
+def use_counts(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """How often each key has come and when last; the state is one row per key. Null keys are left out."""
+    return rows.dropna(subset=[key]).groupBy(key).agg(F.count("*").alias("n"), F.max(at).alias("last"))
+
+
+def drain_state(stream: DataFrame, key: str, name: str) -> DataFrame:
+    """Runs a stream with one row of state per key over what is there now, and gives the last state of each key.
+
+    Batches write the states that have changed, each into a folder of its own, which a batch that is run again replaces; the one of the last batch counts.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{folder}/rows")
+    rest = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct("batch", *rest)).alias("v")).select(key, *(F.col(f"v.{c}").alias(c) for c in rest))
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there now into Parquet files in the shared folder and reads them: for backfills and tests."""
     spark = stream.sparkSession
