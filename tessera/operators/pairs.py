@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from itertools import combinations
+from math import ceil, comb
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,22 +18,91 @@ from tessera.functions.text import token_set
 from tessera.functions.vectors import cosine
 from tessera.storage import cut
 
+#: Rare words that two claims share to be compared, at most; fewer where their combinations would be more than so many for each word.
+LEVEL, KEYS_PER_TOKEN = 3, 8
+#: Words of domains, the most frequent ones, whose order tasks get by value; all others count as rarer.
+COMMON = 200_000
+#: Rows up to which a list of wanted ones is broadcast.
+BROADCAST_ROWS = 100_000
+_KEYS_AT_ONCE = 100_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BETWEEN = "\x1f"
+
 
 def _needed(size: Column, least: float) -> Column:
     """How many of size tokens another set must share to be as similar as least; the small amount keeps products such as 0.8 * 5 whole."""
     return F.ceil(size * F.lit(least) - F.lit(1e-9))
 
 
-def rare_tokens(sets: DataFrame, frequencies: DataFrame, least: float) -> DataFrame:
-    """id, size, at and token: the rarest tokens of each set (id, tokens), so many that two sets whose jaccard is least or more have one of them in common.
+def _level(size: int, least: float) -> int:
+    """How many of their rarest words two sets must share to be compared, if the smaller has this size: as many as LEVEL, unless these are more than they must have in common or have too many combinations."""
+    need = ceil(size * least - 1e-9)
+    return next((n for n in range(min(LEVEL, need), 1, -1) if comb(size - need + n, n) <= KEYS_PER_TOKEN * size), 1)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], common: list[str], whole: bool, least: float) -> Iterator[pa.RecordBatch]:
+    """key, n, size and bits of sets (n, domain, tokens): a key for every combination of its rarest tokens, the number of its tokens, and for each of 64 classes of tokens whether it has an odd number of them.
 
-    frequencies (token, docs) gives the order; tokens it doesn't know come first. at counts from 1.
+    common: the tokens of domains that are in several sets, rarest first; whole: whether these are all, so that others are in one set only and no key needs them.
     """
-    each = sets.select("id", F.explode("tokens").alias("token")).join(frequencies, "token", "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "token")))
-    ordered = each.groupBy("id").agg(order.alias("order")).withColumn("size", F.size("order"))
-    first = F.slice("order", F.lit(1), (F.col("size") - _needed(F.col("size"), least) + 1).cast("int"))
-    return ordered.select("id", "size", F.posexplode(first).alias("at", "t")).select("id", "size", (F.col("at") + 1).alias("at"), F.col("t.token").alias("token"))
+    names = pa.array(common, pa.string())
+    for batch in batches:
+        n, lists = batch.column("n").to_numpy(), batch.column("tokens")
+        sizes = lists.value_lengths().to_numpy()
+        flat, row = lists.flatten(), np.repeat(np.arange(len(n)), sizes)
+        place = pc.fill_null(pc.index_in(pc.binary_join_element_wise(batch.column("domain").take(pa.array(row)), flat, _BETWEEN), value_set=names), -1).to_numpy()
+        h = pd.util.hash_array(flat.to_numpy(zero_copy_only=False))
+        bits = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), np.cumsum(sizes) - sizes) if len(n) else np.zeros(0, np.uint64)
+        order = np.lexsort((h, place, row))
+        h, place = h[order], place[order]
+        start, skip = np.cumsum(sizes) - sizes, np.bincount(row[place < 0], minlength=len(n)) * whole
+        domain = pd.util.hash_array(batch.column("domain").to_numpy(zero_copy_only=False))
+        for size in np.unique(sizes).tolist():
+            need = ceil(size * least - 1e-9)
+            for level in sorted({_level(x, least) for x in range(need, size + 1)}):
+                if level > need:
+                    continue
+                left = np.where(sizes == size, size - need + level - skip, 0)
+                for k in np.unique(left[left >= level]).tolist():
+                    at = np.flatnonzero(left == k)
+                    first = h[(start[at] + skip[at])[:, None] + np.arange(k)]
+                    some = max(1, _KEYS_AT_ONCE // comb(k, level))
+                    which = np.array(list(combinations(range(k), level)))
+                    for i in range(0, len(at), some):
+                        key = np.broadcast_to((domain[at[i : i + some]] + np.uint64(level))[:, None], (len(at[i : i + some]), len(which)))
+                        for j in range(level):
+                            key = (key ^ first[i : i + some][:, which[:, j]]) * _ODD
+                            key = key ^ (key >> np.uint64(29))
+                        own = np.repeat(at[i : i + some], len(which))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(n[own]), pa.array(np.full(len(own), size, np.int32)), pa.array(bits[own].view(np.int64))], ["key", "n", "size", "bits"])
+
+
+def numbered(claim_rows: DataFrame) -> DataFrame:
+    """Claims, written once, each with a number n."""
+    return cut(claim_rows.withColumn("n", F.monotonically_increasing_id()), "claims")
+
+
+def candidates(held: DataFrame, least: float) -> DataFrame:
+    """n_a < n_b of the sets (n, domain_id, tokens) of one domain that may have a jaccard of least or more; all that have are among them.
+
+    Tokens of a domain are ordered, rarest first. Two sets that have many tokens in common have the first of these among their own first ones, so sets meet at the combinations of their rarest tokens (see :func:`_level`). What they have an odd number of shows how much they differ at least, so that few of those that meet and aren't similar are passed on.
+    """
+    sets = held.select("n", F.coalesce("domain_id", F.lit("")).alias("domain"), "tokens")
+    frequent = sets.select("domain", F.explode("tokens").alias("token")).select(F.concat_ws(_BETWEEN, "domain", "token").alias("name")).groupBy("name").agg(F.count("*").alias("docs")).where("docs > 1")
+    top = frequent.orderBy(F.desc("docs"), "name").limit(COMMON + 1).collect()
+    common = [r["name"] for r in reversed(top[:COMMON])]
+    keys = sets.mapInArrow(partial(_keys, common=common, whole=len(top) <= COMMON, least=least), "key long, n long, size int, bits long")
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "size", "bits"))) for s in "ab")
+    small, large, both = F.least("size_a", "size_b"), F.greatest("size_a", "size_b"), F.col("size_a") + F.col("size_b")
+    apart = both - 2 * F.ceil(both * F.lit(least / (1 + least)) - F.lit(1e-9))
+    met = a.join(b, "key").where(F.col("n_a") < F.col("n_b")).where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= apart)
+    return met.where(small >= _needed(large, least)).select("n_a", "n_b").distinct()
+
+
+def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted; where these are few they go to the rows."""
+    wanted = cut(wanted.distinct(), "wanted")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key, "left_semi")
 
 
 def claims(rows: DataFrame) -> DataFrame:
@@ -45,22 +123,17 @@ def similar_pairs(claim_rows: DataFrame, vectors: DataFrame, least_cosine: float
     """
     if not 0 < least_jaccard <= 1:
         raise ValueError("least_jaccard is above 0 and at most 1")
-    held = cut(claim_rows.select(F.col("keeper_id").alias("id"), "domain_id", "tokens"), "claims")
-    frequencies = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("docs"))
-    rare = rare_tokens(held, frequencies, least_jaccard).join(held.select("id", F.coalesce("domain_id", F.lit("")).alias("domain")), "id")
-    rare = cut(rare, "rare")
-    a, b = (rare.select("domain", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "at"))) for s in "ab")
-    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    shared = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1
-    near = a.join(b, ["domain", "token"]).where(F.col("id_a") < F.col("id_b")).where(small >= _needed(large, least_jaccard))
-    near = near.where(shared >= F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(least_jaccard / (1 + least_jaccard)) - F.lit(1e-9))).select("id_a", "id_b").distinct()
+    held = claim_rows if "n" in claim_rows.columns else numbered(claim_rows)
+    near = cut(candidates(held, least_jaccard), "near")
+    texts = cut(_only(held.select("n", F.col("keeper_id").alias("id"), F.coalesce("domain_id", F.lit("")).alias("domain"), "tokens"), near.select(F.explode(F.array("n_a", "n_b")).alias("n")), "n"), "texts")
     for s in "ab":
-        near = near.join(held.select(F.col("id").alias(f"id_{s}"), F.col("tokens").alias(f"tokens_{s}")), f"id_{s}")
+        near = near.join(texts.select(*(F.col(c).alias(f"{c}_{s}") for c in texts.columns)), f"n_{s}")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    alike = near.withColumn("jaccard", F.round(both / (F.size("tokens_a") + F.size("tokens_b") - both), 6)).where(F.col("jaccard") >= least_jaccard)
-    alike = cut(alike.select("id_a", "id_b", "jaccard"), "alike")
+    alike = near.where("domain_a = domain_b").withColumn("jaccard", F.round(both / (F.size("tokens_a") + F.size("tokens_b") - both), 6)).where(F.col("jaccard") >= least_jaccard)
+    alike = cut(alike.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard"), "alike")
+    embedded = cut(_only(vectors.select("id", "embedding"), alike.select(F.explode(F.array("id_a", "id_b")).alias("id")), "id"), "embedded")
     for s in "ab":
-        alike = alike.join(vectors.select(F.col("id").alias(f"id_{s}"), F.col("embedding").alias(f"embedding_{s}")), f"id_{s}")
+        alike = alike.join(embedded.select(F.col("id").alias(f"id_{s}"), F.col("embedding").alias(f"embedding_{s}")), f"id_{s}")
     found = alike.withColumn("cosine", F.round(cosine(F.col("embedding_a"), F.col("embedding_b")), 6)).where(F.col("cosine") >= least_cosine)
     return found.select(F.col("id_a").alias("left_id"), F.col("id_b").alias("right_id"), "cosine", "jaccard")
 

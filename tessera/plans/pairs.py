@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import phrases
 from tessera.operators import outcomes as O
 from tessera.operators.geometry import loops, main_directions
-from tessera.operators.pairs import claims, similar_groups, similar_pairs
+from tessera.operators.pairs import claims, numbered, similar_groups, similar_pairs
 from tessera.plans import memory as P
 from tessera.plans.memory import _CTE, _STEMS, _STOP, _TOKENS, _USABLE_SQL, _asks, _usable, _with
 from tessera.sources import memory as M
@@ -51,7 +51,7 @@ r AS (SELECT id, id AS o FROM c UNION SELECT b, o FROM r JOIN ways ON a = r.id),
 SELECT c.id AS keeper_id, domain_id, copies, coalesce(k, 0) AS links, group_id, group_claims FROM c JOIN g ON g.id = c.id JOIN n USING (group_id) LEFT JOIN (SELECT a, count(*) AS k FROM ways GROUP BY 1) w ON w.a = c.id""")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Every claim with the group of similar ones it belongs to."""
-    rows = _claims(s, d)
+    rows = numbered(_claims(s, d))
     return similar_groups(rows, similar_pairs(rows, _usable(s, d)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from tessera.functions.text import token_set
-from tessera.operators.pairs import claims, linked_groups, similar_groups, similar_pairs
+from tessera.operators.pairs import candidates, claims, linked_groups, numbered, similar_groups, similar_pairs
 
 SCHEMA = "id string, domain_id string, text string, quality double, text2 string"
 
@@ -44,6 +44,25 @@ def test_similar_pairs_against_all_pairs(spark):
         assert least == 1.0 or want
 
 
+def test_few_candidates_of_few_words(spark):
+    """Claims made of the same few words are not all compared; those that are similar are, long ones and ones of other sizes too."""
+    r = random.Random(7)
+    words, rows = [f"w{i}" for i in range(150)], []
+    for i in range(600):
+        w = [*r.sample(words, r.choice([12, 20, 30])), f"ticket{i}"] if i % 50 else r.sample(words, 140) + [f"x{j}" for j in range(200)]
+        rows.append((f"a{i:03}", "d", " ".join(w), 1.0, "x"))
+        if i % 10 == 0:
+            r.shuffle(w)
+            rows.append((f"b{i:03}", "d", " ".join(w[: -(len(w) // 10)]), 1.0, "x"))
+    held = numbered(claims(spark.createDataFrame(rows, SCHEMA)))
+    sets = {x["n"]: set(x["tokens"]) for x in held.collect()}
+    for least in (0.8, 0.6):
+        found = {(x["n_a"], x["n_b"]) for x in candidates(held, least).collect()}
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        assert len(want) >= 60 and want <= found
+        assert least < 0.8 or len(found) < 3 * len(want)
+
+
 def test_claims_of_copies(spark):
     rows = [(f"k{i:04}", "d1", ("Keep the Cache" if i % 2 else "cache; KEEP the"), 0.5 if i == 77 else 0.1, "x") for i in range(1000)]
     rows += [("z1", None, "keep the cache", None, "x"), ("z2", None, "the cache: keep", None, "x")]
