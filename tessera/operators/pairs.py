@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import token_set
-from tessera.functions.vectors import cosine
+from tessera.functions.vectors import cosine, norm
 from tessera.storage import cut
 
 #: Rare words that two claims share to be compared, at most; fewer where their combinations would be more than so many for each word.
@@ -24,6 +24,8 @@ LEVEL, KEYS_PER_TOKEN = 3, 8
 COMMON = 200_000
 #: Rows up to which a list of wanted ones is broadcast.
 BROADCAST_ROWS = 100_000
+#: Steps from 0 to 1 of the rounded unit vectors by which pairs are sifted before their cosine is computed.
+_STEPS = 127
 _KEYS_AT_ONCE = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BETWEEN = "\x1f"
@@ -119,7 +121,7 @@ def claims(rows: DataFrame) -> DataFrame:
 def similar_pairs(claim_rows: DataFrame, vectors: DataFrame, least_cosine: float = 0.9, least_jaccard: float = 0.8) -> DataFrame:
     """left_id < right_id, cosine and jaccard (6 decimals) of the keepers of two claims of one domain that reach both limits, by vectors (id, embedding) and words. Keepers without a vector, or of different lengths, are in no pair.
 
-    Two claims are compared if they share one of their rarest words, as many as the limit demands, and if the sizes of their sets and the places of that word let them reach it. So nothing is lost, and only words that are rare in both bring claims together; claims differ in their words, so a group of copies is a single one here. Vectors are joined to the pairs that are left.
+    Two claims are compared if they share some of their rarest words (see :func:`candidates`); nothing is lost. Claims differ in their words, so a group of copies is a single one here. Pairs that are left get their vectors rounded to bytes, and only those that may reach the limit within that error the vectors themselves. The result is written, so that reading it again costs nothing.
     """
     if not 0 < least_jaccard <= 1:
         raise ValueError("least_jaccard is above 0 and at most 1")
@@ -131,11 +133,22 @@ def similar_pairs(claim_rows: DataFrame, vectors: DataFrame, least_cosine: float
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     alike = near.where("domain_a = domain_b").withColumn("jaccard", F.round(both / (F.size("tokens_a") + F.size("tokens_b") - both), 6)).where(F.col("jaccard") >= least_jaccard)
     alike = cut(alike.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard"), "alike")
-    embedded = cut(_only(vectors.select("id", "embedding"), alike.select(F.explode(F.array("id_a", "id_b")).alias("id")), "id"), "embedded")
+    embedded = _only(vectors.select("id", "embedding"), alike.select(F.explode(F.array("id_a", "id_b")).alias("id")), "id")
+    embedded = cut(embedded.withColumn("norm", F.greatest(norm(F.col("embedding")), F.lit(1e-12))), "embedded")
+    brief = embedded.select("id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.round(x / F.col("norm") * _STEPS).try_cast("tinyint")).alias("e"))
+    close = alike
     for s in "ab":
-        alike = alike.join(embedded.select(F.col("id").alias(f"id_{s}"), F.col("embedding").alias(f"embedding_{s}")), f"id_{s}")
-    found = alike.withColumn("cosine", F.round(cosine(F.col("embedding_a"), F.col("embedding_b")), 6)).where(F.col("cosine") >= least_cosine)
-    return found.select(F.col("id_a").alias("left_id"), F.col("id_b").alias("right_id"), "cosine", "jaccard")
+        close = close.join(brief.select(*(F.col(c).alias(f"{c}_{s}") for c in brief.columns)), f"id_{s}")
+    # each rounded vector is off by half a step in every element at most
+    off = F.sqrt("dim_a") * F.lit(0.5 / _STEPS) + F.lit(1e-6)
+    about = F.aggregate(F.zip_with("e_a", "e_b", lambda x, y: x.cast("int") * y), F.lit(0), lambda t, x: t + x) / F.lit(_STEPS**2)
+    close = close.where("dim_a = dim_b").where(F.coalesce(about >= F.lit(least_cosine) - 2 * off - off * off, F.lit(True)))
+    close = cut(close.select("id_a", "id_b", "jaccard"), "close")
+    exact = _only(embedded, close.select(F.explode(F.array("id_a", "id_b")).alias("id")), "id")
+    for s in "ab":
+        close = close.join(exact.select(F.col("id").alias(f"id_{s}"), F.col("embedding").alias(f"embedding_{s}")), f"id_{s}")
+    found = close.withColumn("cosine", F.round(cosine(F.col("embedding_a"), F.col("embedding_b")), 6)).where(F.col("cosine") >= least_cosine)
+    return cut(found.select(F.col("id_a").alias("left_id"), F.col("id_b").alias("right_id"), "cosine", "jaccard"), "found")
 
 
 def linked_groups(pairs: DataFrame) -> DataFrame:

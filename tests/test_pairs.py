@@ -63,6 +63,21 @@ def test_few_candidates_of_few_words(spark):
         assert least < 0.8 or len(found) < 3 * len(want)
 
 
+def test_groups_read_written_pairs(spark):
+    """Groups don't join vectors again: the pairs they read are written, and those about the limit are right to six decimals."""
+    r = random.Random(2)
+    notes = [(f"n{i:02}", "d", f"one two three four five six seven eight nine w{i:02}", 1.0, "x") for i in range(30)]
+    near = {n[0]: [1.0, *(r.gauss(0, 0.07) for _ in range(23))] for n in notes}
+    c = claims(spark.createDataFrame(notes, SCHEMA))
+    pairs = similar_pairs(c, spark.createDataFrame(list(near.items()), "id string, embedding array<double>"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    cos = {(a, b): round(dot(near[a], near[b]) / (dot(near[a], near[a]) * dot(near[b], near[b])) ** 0.5, 6) for a in near for b in near if a < b}
+    assert {(p["left_id"], p["right_id"]): p["cosine"] for p in pairs.collect()} == {k: v for k, v in cos.items() if v >= 0.9}
+    assert 0 < sum(v >= 0.9 for v in cos.values()) < len(cos)
+
+
 def test_claims_of_copies(spark):
     rows = [(f"k{i:04}", "d1", ("Keep the Cache" if i % 2 else "cache; KEEP the"), 0.5 if i == 77 else 0.1, "x") for i in range(1000)]
     rows += [("z1", None, "keep the cache", None, "x"), ("z2", None, "the cache: keep", None, "x")]
