@@ -1,6 +1,8 @@
 """Problem 4: dense groups of similar vectors, with their size and most typical members.
 
-Vectors go to the cells of their nearest pivots, with copies in others near their borders. Within each task density clusters are found; what is near a point is added up over its tasks, so it is a core point wherever its neighbours are; clusters of different tasks that share a core point are one. The most typical members (medoids) are those with the highest mean cosine to all members, which is their cosine with the sum of the members' unit vectors.
+For clusters of any density, vectors go to the cells of their nearest pivots, with copies in others near their borders. Within each task density clusters are found; what is near a point is added up over its tasks, so it is a core point wherever its neighbours are; clusters of different tasks that share a core point are one. The most typical members (medoids) are those with the highest mean cosine to all members, which is their cosine with the sum of the members' unit vectors.
+
+Where all members must be similar to each other, vectors stay in their nearest cells. There groups of similar vectors are found; one whose members aren't all similar is no part of a cluster. Each other group asks once, with its middle and how far its members are from it, in all cells that may hold something similar to a member; what comes back is compared with the members.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.vectors import Space, decode, prepare, route, unit
+from tessera.llm.vectors import Space, decode, prepare, route, route_blocks, route_home, unit
 from tessera.storage import cut
 
 #: Vectors that share a home cell, about.
@@ -23,6 +25,10 @@ CELL_ROWS = 3000
 COVERED, NEAREST = 0.97, 5
 #: Members of a cluster that a task compares with as many others, or adds up.
 BLOCK_ROWS = 2000
+#: The share of pairs at the radius that must share a cell for groups to begin with: of the 15 or more pairs of a cluster one is enough.
+MET = 0.5
+#: Rows that groups found elsewhere, about, that one task compares with the groups; of one group at most so many.
+FOUND_ROWS = 10_000
 _UNSURE = 1e-5
 
 
@@ -143,17 +149,136 @@ def _apart(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
     return pdf[["cluster"]].head(int(apart))
 
 
+def _groups(key: tuple, pdf: pd.DataFrame, radius: float, cells: dict[int, tuple]) -> pd.DataFrame:
+    """The groups of a task: rows of _GROUPED. The first row of a group whose members are all similar has its middle, in bytes, the lowest cosine to it that something similar to a member can have, and the tasks to ask."""
+    dim, task = int(key[0]), int(key[1])
+    pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
+    x = unit(decode(pdf["vec"].tolist(), dim))
+    label, _, others, _ = local_clusters(x, radius, 2)
+    rows = np.flatnonzero((label >= 0) & (others > 0))
+    rows = rows[np.argsort(label[rows], kind="stable")]
+    out = pdf.iloc[rows][["id", "vec"]].assign(dim=dim, label=(dim << 44) + (task << 22) + label[rows])
+    middle, ask = np.full(len(rows), None, object), np.full(len(rows), None, object)
+    far, whole, size = np.zeros(len(rows)), np.zeros(len(rows), bool), np.zeros(len(rows), int)
+    if len(rows):
+        first = np.flatnonzero(np.diff(label[rows], prepend=-1))
+        count = np.diff(first, append=len(rows))
+        every = np.minimum.reduceat(others[rows], first) == count - 1
+        of = np.repeat(np.arange(len(first)), count)
+        whole, size = every[of], count[of]
+        sums = np.add.reduceat(x[rows], first, axis=0)
+        sums = np.rint(sums / np.maximum(np.abs(sums).max(1), 1e-30)[:, None] * 127).astype(np.int8)
+        low = np.minimum.reduceat(np.einsum("ij,ij->i", x[rows], unit(sums.astype(float))[of]), first)
+        angle = np.arccos(np.clip(low, -1, 1)) + np.arccos(radius)
+        far[first] = np.where(angle < np.pi, np.cos(angle), -1) - _UNSURE
+        pivots, margin, blocks, first_task, cell_of = cells[dim]
+        asked = []
+        at = np.flatnonzero(whole)
+        for a in range(0, len(at), 1024):
+            some = at[a : a + 1024]
+            c = x[rows[some]].astype(np.float32) @ pivots.T
+            r, cell = np.nonzero(c >= c.max(1)[:, None] - margin)
+            asked.append(np.unique(of[some[r]] * len(pivots) + cell))
+        asked = np.unique(np.concatenate(asked)) if asked else np.array([], int)
+        asked = asked[asked % len(pivots) != cell_of[task]]
+        ends = np.searchsorted(asked, np.arange(len(first) + 1) * len(pivots))
+        for g in np.flatnonzero(every):
+            middle[first[g]] = sums[g].tobytes()
+            own = asked[ends[g] : ends[g + 1]] % len(pivots)
+            ask[first[g]] = np.concatenate([np.arange(first_task[c], first_task[c] + blocks[c]) for c in own] or [np.array([], int)]).astype(np.int32)
+    return out.assign(whole=whole, size=size, middle=middle, far=far, ask=pd.Series(ask, index=out.index, dtype=object))
+
+
+_GROUPED = "id string, vec binary, dim int, label long, whole boolean, size int, middle binary, far double, ask array<int>"
+
+
+def _answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """label, id, dim, vec: the rows of a task that are near enough to the middle of each asking group."""
+    asks = pdf["label"].notna().to_numpy()
+    rows, asks = pdf[~asks], pdf[asks]
+    found = {"label": [], "at": []}
+    if len(rows) and len(asks):
+        dim = int(key[0])
+        x = unit(decode(rows["vec"].tolist(), dim)).astype(np.float32).T
+        q = unit(np.frombuffer(b"".join(asks["vec"].tolist()), np.int8).reshape(-1, dim).astype(float)).astype(np.float32)
+        labels, far = asks["label"].to_numpy().astype(np.int64), asks["far"].to_numpy().astype(np.float32)
+        for a in range(0, len(q), 1024):
+            i, j = np.nonzero(q[a : a + 1024] @ x >= far[a : a + 1024, None])
+            found["label"].append(labels[a + i])
+            found["at"].append(j)
+    label, at = (np.concatenate([np.array([], np.int64), *v]) for v in found.values())
+    return rows.iloc[at][["id", "vec"]].assign(label=label, dim=int(key[0]))[["label", "id", "dim", "vec"]]
+
+
+def _linked(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """label, id, dim, vec, whole: what was found by a group and is similar to a member; whole: to all of them."""
+    out = [pdf.head(0).assign(whole=True)]
+    for (dim, _, _), own in pdf.groupby(["dim", "label", "part"], sort=False):
+        at = own["member"].to_numpy()
+        if not at.all():
+            x = unit(decode(own["vec"].tolist(), int(dim)))
+            m, y = x[at], x[~at]
+            some, every = np.zeros(len(y), bool), np.ones(len(y), bool)
+            for a in range(0, len(m), 1024):
+                s = similar(m[a : a + 1024], y, radius)
+                some |= s.any(0)
+                every &= s.all(0)
+            out.append(own[~at].assign(whole=every)[some])
+    return pd.concat(out)[["label", "id", "dim", "vec", "whole"]]
+
+
+def similar_groups(space: Space, radius: float, min_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (id, cluster) of the sets of at least min_size vectors with nothing similar outside, as far as these may be similar to each other; the sets (cluster, cluster_id: the smallest id, size, whole: true if their members are, null if that isn't known); and rows (id, dim, vec, cluster) of the members that weren't left out as copies."""
+    home, first, n = route_home(space)
+    cells = {}
+    for dim, c in space.cells.items():
+        tasks = route_blocks(c, CELL_ROWS)[1]
+        cells[dim] = (c.pivots, c.margin, c.blocks, first[dim], np.repeat(np.arange(len(tasks)), tasks))
+    grouped = route(space, CELL_ROWS).groupBy("dim", "task").applyInPandas(lambda key, pdf: _groups(key, pdf, radius, cells), _GROUPED)
+    grouped = cut(grouped, "groups")
+    asks = grouped.where("ask is not null").select("dim", F.explode("ask").alias("task"), F.lit(None).cast("string").alias("id"), F.col("middle").alias("vec"), "label", "far")
+    both = home.withColumns({"label": F.lit(None).cast("long"), "far": F.lit(None).cast("double")}).unionByName(asks).repartition(max(1, n), "dim", "task")
+    found = cut(both.groupBy("dim", "task").applyInPandas(_answer, "label long, id string, dim int, vec binary"), "found")
+    per = cut(found.groupBy("label").agg(F.ceil(F.count("*") / FOUND_ROWS).cast("int").alias("parts"), F.count("*").alias("n")), "asked")
+    buckets = max(1, (per.agg(F.sum("n")).first()[0] or 0) // FOUND_ROWS)
+    parts = per.select("label", "parts")
+    theirs = found.join(parts, "label").withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "member": F.lit(False)})
+    own = grouped.select("label", "id", "dim", "vec").join(parts, "label").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "member": F.lit(True)})
+    compared = theirs.unionByName(own).select("label", "id", "dim", "vec", "part", "member", F.pmod(F.xxhash64("label", "part"), F.lit(buckets)).alias("bucket"))
+    linked = cut(compared.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, radius), "label long, id string, dim int, vec binary, whole boolean"), "linked")
+    labels = grouped.select("id", "label").unionByName(linked.select("id", "label"))
+    shared = labels.groupBy("id").agg(F.collect_set("label").alias("labels")).where("size(labels) > 1")
+    links = shared.select(F.array_min("labels").alias("a"), F.explode("labels").alias("b")).where("a <> b").distinct()
+    joined = cut(connected_components(cut(links, "links")).withColumnRenamed("id", "label"), "joined")
+    cluster = lambda df: df.join(joined, "label", "left").withColumn("cluster", F.coalesce("component", "label"))
+    bad = cluster(grouped.where("not whole").select("label").unionByName(linked.where("not whole").select("label"))).select("cluster").distinct()
+    members = cluster(labels).select("id", "cluster").distinct()
+    if space.followers is not None:
+        more = space.followers.join(members.withColumnRenamed("id", "leader"), "leader").select("id", "cluster")
+        members = members.unionByName(more)
+    members = cut(members.join(bad, "cluster", "left_anti"), "members")
+    counted = members.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size")).where(F.col("size") >= min_size)
+    seen = cluster(grouped.where("ask is not null").select("label", F.col("size").alias("seen"))).groupBy("cluster").agg(F.max("seen").alias("seen"))
+    if space.followers is not None:
+        # copies left out are similar to whatever their leader is
+        left = space.followers.join(members, "id").groupBy("cluster").agg(F.count("*").alias("more"))
+        seen = seen.join(left, "cluster", "left").withColumn("seen", F.col("seen") + F.coalesce("more", F.lit(0)))
+    counted = counted.join(seen, "cluster").select("cluster", "cluster_id", "size", F.when(F.col("seen") == F.col("size"), True).alias("whole"))
+    rows = cluster(grouped.select("id", "dim", "vec", "label").unionByName(linked.select("id", "dim", "vec", "label"))).select("id", "dim", "vec", "cluster")
+    return members, cut(counted, "clusters"), rows
+
+
 def mutual_clusters(vectors: DataFrame, ids: DataFrame | None = None, radius: float = 0.8, min_size: int = 6) -> DataFrame:
     """memory_id, cluster_id of the clusters of at least min_size vectors that are all similar (of one dim, cosine of radius or more) to each other and to nothing else.
 
-    The density clusters with a core point wherever another vector is similar are the sets with nothing similar outside; those are kept whose members are all similar to each other, which is known where one task saw them all. The others are compared with their first member, and those that this leaves as blocks against blocks. Of vectors: memory_id, embedding, dim; of ids: id, those that take part, in normal form. Unusable and repeated vectors: see :func:`tessera.llm.vectors.prepare`.
+    A cluster whose members are all in one group of similar vectors is known to be one. The others are compared with their first member, and those that this leaves as blocks against blocks. Of vectors: memory_id, embedding, dim; of ids: id, those that take part, in normal form. Unusable and repeated vectors: see :func:`tessera.llm.vectors.prepare`.
     """
-    space = prepare(vectors, CELL_ROWS, min_size, NEAREST, radius, COVERED, ids, mutual=True)
-    members, clusters = density_clusters(space, radius, 2, min_size)
+    space = prepare(vectors, CELL_ROWS, min_size, NEAREST, radius, COVERED, ids, meet=MET)
+    members, clusters, rows = similar_groups(space, radius, min_size)
     open_ = cut(clusters.where("whole is null").select("cluster", "cluster_id", "size"), "open")
     good = clusters.where("whole").select("cluster", "cluster_id")
     if not open_.isEmpty():
-        rows = cut(members.join(open_, "cluster").join(space.rows.select("id", "dim", "vec").dropDuplicates(["id"]), "id"), "open_rows")
+        rows = cut(rows.join(open_, "cluster").dropDuplicates(["id"]), "open_rows")
         anchors = rows.where("id = cluster_id").select("cluster", F.col("vec").alias("anchor"))
         far = rows.join(anchors, "cluster").mapInPandas(partial(_far, radius=radius), "cluster long").distinct()
         rows = rows.join(far, "cluster", "left_anti")

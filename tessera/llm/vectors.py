@@ -11,6 +11,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ _ROUNDS = 6
 _ASKED = 1024
 #: Rows up to which a side that is to be excluded is broadcast.
 BROADCAST_ROWS = 50_000
+#: Keys of left-out rows (8 bytes each) up to which tasks get them by value, so that no vector is shuffled to leave others out.
+LISTED_ROWS = 4_000_000
 _RAW = 255
 _EXPONENTS = (4, 0, 1, 2, 3, 5, 6)
 
@@ -112,12 +115,13 @@ class Space:
 
 @dataclass
 class Cells:
-    """pivots: unit vectors, the centres of cells; margin: by how much the cosine of another pivot may be lower than that of the nearest for a vector's neighbours to be looked for there too; blocks: into how many blocks the rows of each cell are divided; asking: about how many rows look for neighbours in each cell."""
+    """pivots: unit vectors, the centres of cells; margin: by how much the cosine of another pivot may be lower than that of the nearest for a vector's neighbours to be looked for there too; blocks: into how many blocks the rows of each cell are divided; asking: about how many rows look for neighbours in each cell; meet: the margin with which a given share of the pairs share a cell, if asked for."""
 
     pivots: np.ndarray
     margin: float
     blocks: np.ndarray
     asking: np.ndarray
+    meet: float = 0.0
 
 
 def _homes(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -192,19 +196,20 @@ def _margin(x: np.ndarray, pivots: np.ndarray, k: int, least: float, share: floa
     return float(np.quantile(np.concatenate(needs), share, method="higher")) + 1e-6
 
 
-def cells_of(sample: np.ndarray, n: int, cell_rows: int, k: int, least: float, share: float, mutual: bool = False) -> Cells:
-    """Cells, made from the sample, for n vectors of which about cell_rows share a home; blocks for cells that the sample shows to be larger than twice that; a margin for this share of the k nearest others, or of what has a cosine of least (mutual: if vectors are copied to all cells within the margin)."""
+def cells_of(sample: np.ndarray, n: int, cell_rows: int, k: int, least: float, share: float, mutual: bool = False, meet: float | None = None) -> Cells:
+    """Cells, made from the sample, for n vectors of which about cell_rows share a home; blocks for cells that the sample shows to be larger than twice that; a margin for this share of the k nearest others, or of what has a cosine of least (mutual: if vectors are copied to all cells within the margin). meet: the share for which vectors are to be copied besides; asking then counts these copies."""
     x = unit(sample).astype(np.float32)
     scale = n / len(x)
     pivots = _pivots(x, cell_rows / scale)
     margin = _margin(x, pivots, k, least, share, mutual)
+    near = margin if meet is None else _margin(x, pivots, k, least, meet, True)
     stored, asking = np.zeros(len(pivots)), np.zeros(len(pivots))
     for a in range(0, len(x), 1024):
-        home, _, others = _around(x[a : a + 1024], pivots, margin)
+        home, _, others = _around(x[a : a + 1024], pivots, near)
         stored += np.bincount(home, minlength=len(pivots))
         asking += np.bincount(others, minlength=len(pivots))
     blocks = np.maximum(1, np.ceil(stored * scale / (2 * cell_rows))).astype(int)
-    return Cells(pivots, margin, blocks, (stored + asking) * scale)
+    return Cells(pivots, margin, blocks, (stored + asking) * scale, near)
 
 
 def _copies(same: DataFrame, keep: int) -> DataFrame | None:
@@ -219,22 +224,44 @@ def _copies(same: DataFrame, keep: int) -> DataFrame | None:
     return cut(rows.join(firsts, ["dim", "h"]).where(~F.array_contains("ids", F.col("id"))).select("id", "h", F.col("ids")[0].alias("leader")), "followers")
 
 
-def prepare(vectors: DataFrame, cell_rows: int, keep: int, k: int, least: float, share: float, ids: DataFrame | None = None, mutual: bool = False) -> Space:
+def _unlisted(batches: Iterator[pa.RecordBatch], keys: Broadcast) -> Iterator[pa.RecordBatch]:
+    left = keys.value
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        at = np.minimum(np.searchsorted(left, key), len(left) - 1)
+        yield batch.filter(pa.array(left[at] != key)).select(["id", "dim", "h", "vec"])
+
+
+def _without(rows: DataFrame, out: DataFrame) -> DataFrame:
+    """rows but for those in out (id, h)."""
+    n = out.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(out), ["id", "h"], "left_anti")
+    if n > LISTED_ROWS:
+        return cut(rows.join(out, ["id", "h"], "left_anti"), "kept")
+    keys = np.sort(out.select(F.xxhash64("id", "h").alias("key")).toPandas()["key"].to_numpy())
+    keys = rows.sparkSession.sparkContext.broadcast(keys)
+    return rows.withColumn("key", F.xxhash64("id", "h")).mapInArrow(partial(_unlisted, keys=keys), _ENCODED)
+
+
+def prepare(vectors: DataFrame, cell_rows: int, keep: int, k: int, least: float, share: float, ids: DataFrame | None = None, mutual: bool = False, meet: float | None = None) -> Space:
     """The usable vectors of a table (memory_id, embedding, dim), each id once, and cells for them (see :func:`cells_of`).
 
     Usable: id not null or blank, dim the length of embedding, all elements finite, not all zero. Of an id with several usable vectors the one with the smallest hash counts. ids: an id column; only these take part. Of vectors that are equal at most keep, those with the smallest ids, are worked on, so that no number of copies can fill a cell.
     """
-    rows = _shaped(vectors).mapInArrow(_encode, _ENCODED)
+    rows = cut(_shaped(vectors).mapInArrow(_encode, _ENCODED), "vectors")
+    brief, out = rows.select("id", "dim", "h"), None
     if ids is not None:
-        rows = rows.join(ids, "id", "left_semi")
-    rows = cut(rows, "vectors")
-    per = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    several = cut(rows.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("id", "least"), "several")
-    brief = rows.select("id", "dim", "h")
-    out = None
+        # keys only; the vectors themselves aren't shuffled for this
+        brief = cut(brief.join(ids.distinct().withColumn("known", F.lit(True)), "id", "left"), "brief")
+        out = brief.where("known is null").select("id", "h").distinct()
+        brief = brief.where("known").select("id", "dim", "h")
+    per = {r["dim"]: r["n"] for r in brief.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    several = cut(brief.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("id", "least"), "several")
     if not several.isEmpty():
-        out = brief.join(several, "id").where("h <> least").select("id", "h").distinct()
-        brief = brief.join(out, ["id", "h"], "left_anti")
+        more = brief.join(several, "id").where("h <> least").select("id", "h").distinct()
+        brief = brief.join(more, ["id", "h"], "left_anti")
+        out = more if out is None else out.unionByName(more)
     followers = _copies(brief, keep)
     if followers is not None:
         out = followers.select("id", "h") if out is None else out.unionByName(followers.select("id", "h"))
@@ -243,12 +270,11 @@ def prepare(vectors: DataFrame, cell_rows: int, keep: int, k: int, least: float,
     wanted = min(MOST_SAMPLED, max(SAMPLE, n // 64))
     sampled = rows.where(F.pmod("h", F.lit(max(1, n // wanted))) == 0).dropDuplicates(["dim", "h"]).select("dim", "h", "vec").toPandas()
     if out is not None:
-        out = cut(out, "left_out")
-        rows = rows.join(F.broadcast(out) if out.count() <= BROADCAST_ROWS else out, ["id", "h"], "left_anti")
+        rows = _without(rows, cut(out, "left_out"))
     cells = {}
     for dim, m in per.items():
         values = sampled[sampled["dim"] == dim].sort_values("h")["vec"].tolist() or [r["vec"] for r in rows.where(F.col("dim") == dim).select("vec").limit(64).collect()]
-        cells[dim] = cells_of(decode([bytes(v) for v in values], dim), m, cell_rows, k, least, share, mutual)
+        cells[dim] = cells_of(decode([bytes(v) for v in values], dim), m, cell_rows, k, least, share, mutual, meet)
     return Space(rows, followers, cells)
 
 
@@ -280,17 +306,39 @@ def _first_tasks(tasks: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(tasks)[:-1]])
 
 
+def route_blocks(c: Cells, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Into how many blocks route() divides what each cell gets, and how many tasks that makes."""
+    blocks = np.maximum(1, np.ceil(c.asking / (4 * cell_rows))).astype(int)
+    return blocks, blocks * (blocks + 1) // 2
+
+
 def route(space: Space, cell_rows: int) -> DataFrame:
-    """dim, task, id, vec: each row in the tasks of its nearest cell and of all others within the margin, so that most tasks have about cell_rows; what one cell gets is divided into blocks, each pair of which is a task. In as many partitions as there are tasks."""
+    """dim, task, id, vec: each row in the tasks of its nearest cell and of all others within the margin (meet, where that is another), so that most tasks have about cell_rows; what one cell gets is divided into blocks, each pair of which is a task. In as many partitions as there are tasks."""
     cells, n = {}, 0
     for dim, c in space.cells.items():
-        blocks = np.maximum(1, np.ceil(c.asking / (4 * cell_rows))).astype(int)
-        tasks = blocks * (blocks + 1) // 2
-        cells[dim] = (c.pivots, c.margin, blocks, _first_tasks(tasks))
+        blocks, tasks = route_blocks(c, cell_rows)
+        cells[dim] = (c.pivots, c.meet, blocks, _first_tasks(tasks))
         n += int(tasks.sum())
     return space.rows.mapInArrow(partial(_route, cells=cells), "dim int, task int, id string, vec binary").repartition(max(1, n), "dim", "task")
 
 
+def _route_home(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for dim, part, x in _dims(batch):
+            pivots, blocks, first_task = cells[dim]
+            cell = _homes(x.astype(np.float32), pivots)
+            task = first_task[cell] + (part.column("h").to_numpy() >> 7) % blocks[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(task), dim, np.int32)), pa.array(task.astype(np.int32)), part.column("id"), part.column("vec")], ["dim", "task", "id", "vec"])
+
+
+def route_home(space: Space) -> tuple[DataFrame, dict[int, np.ndarray], int]:
+    """dim, task, id, vec: each row once, in its block of its nearest cell; of each dim the first task of each cell, whose blocks follow; and the number of tasks."""
+    first = {dim: _first_tasks(c.blocks) for dim, c in space.cells.items()}
+    cells = {dim: (c.pivots, c.blocks, first[dim]) for dim, c in space.cells.items()}
+    n = sum(int(c.blocks.sum()) for c in space.cells.values())
+    return space.rows.mapInArrow(partial(_route_home, cells=cells), "dim int, task int, id string, vec binary"), first, n
+
+
 def _route_asking(batches: Iterator[pa.RecordBatch], cells: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
     names = ["dim", "task", "part", "stored", "asking", "id", "vec"]
     for batch in batches:

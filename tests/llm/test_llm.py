@@ -270,6 +270,26 @@ def test_mutual_clusters(spark, monkeypatch, cell):
     assert clusters.mutual_clusters(df.limit(0), ids).count() == 0
 
 
+def test_mutual_clusters_without_copies(spark, monkeypatch):
+    # most vectors have nothing similar; with many cells each is still sent to about one task, not to all within a margin
+    monkeypatch.setattr(clusters, "CELL_ROWS", 20)
+    monkeypatch.setattr(vec, "BROADCAST_ROWS", 0)
+    sent = []
+    route = vec.route
+    monkeypatch.setattr(clusters, "route", lambda *a: sent.append(route(*a).count()) or route(*a))
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(900, 16))
+    x[:160] = np.repeat(rng.normal(size=(20, 16)), 8, 0) + rng.normal(size=(160, 16)) * 0.15
+    # at the edge of a cluster, but not similar to all of it; and a vector of no memory beside another
+    x[160], x[161] = x[0] * 0.6 + x[1] * 0.4 + rng.normal(size=16) * 0.5, x[8]
+    data = [(f"m{i:04d}", v.round(4).tolist(), 16) for i, v in enumerate(x)]
+    keep = {i for i, _, _ in data} - {"m0161"}
+    got = clusters.mutual_clusters(spark.createDataFrame(data, VECTORS), spark.createDataFrame([(k,) for k in keep], "id string"))
+    want = brute_cliques(data, keep)
+    assert {r["memory_id"]: r["cluster_id"] for r in got.collect()} == want and len(want) >= 80
+    assert sent and sent[0] < 2 * len(data)
+
+
 def test_typical_members(spark, monkeypatch):
     monkeypatch.setattr(clusters, "BLOCK_ROWS", 7)
     data = made_vectors(2)
