@@ -2,12 +2,13 @@
 
 For clusters of any density, vectors go to the cells of their nearest pivots, with copies in others near their borders. Within each task density clusters are found; what is near a point is added up over its tasks, so it is a core point wherever its neighbours are; clusters of different tasks that share a core point are one. The most typical members (medoids) are those with the highest mean cosine to all members, which is their cosine with the sum of the members' unit vectors.
 
-Where all members must be similar to each other, vectors stay in their nearest cells. There groups of similar vectors are found; one whose members aren't all similar is no part of a cluster. Each other group asks once, with its middle and how far its members are from it, in all cells that may hold something similar to a member; what comes back is compared with the members.
+Where all members must be similar to each other, vectors stay in their nearest cells. There groups of similar vectors are found, and once more, with copies in other cells, among those that have nothing similar in their own; a group whose members aren't all similar is no part of a cluster. Each other group asks once, with its middle and how far its members are from it, in all cells that may hold something similar to a member; what comes back is compared with the members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import partial
 
 import numpy as np
@@ -25,8 +26,8 @@ CELL_ROWS = 3000
 COVERED, NEAREST = 0.97, 5
 #: Members of a cluster that a task compares with as many others, or adds up.
 BLOCK_ROWS = 2000
-#: The share of pairs at the radius that must share a cell for groups to begin with: of the 15 or more pairs of a cluster one is enough.
-MET = 0.5
+#: The share of pairs at the radius that must share a cell where vectors with nothing similar in their own are compared again: of the 15 or more pairs of a cluster one is enough.
+MET = 0.8
 #: Rows that groups found elsewhere, about, that one task compares with the groups; of one group at most so many.
 FOUND_ROWS = 10_000
 _UNSURE = 1e-5
@@ -149,15 +150,16 @@ def _apart(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
     return pdf[["cluster"]].head(int(apart))
 
 
-def _groups(key: tuple, pdf: pd.DataFrame, radius: float, cells: dict[int, tuple]) -> pd.DataFrame:
-    """The groups of a task: rows of _GROUPED. The first row of a group whose members are all similar has its middle, in bytes, the lowest cosine to it that something similar to a member can have, and the tasks to ask."""
+def _groups(key: tuple, pdf: pd.DataFrame, radius: float, cells: dict[int, tuple], again: bool = False) -> pd.DataFrame:
+    """The groups of a task: rows of _GROUPED, and the vectors in none, without a label. again: the task is one of the second round, which doesn't have all rows of its cell. The first row of a group whose members are all similar has its middle, in bytes, the lowest cosine to it that something similar to a member can have, and the tasks to ask."""
     dim, task = int(key[0]), int(key[1])
     pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
     x = unit(decode(pdf["vec"].tolist(), dim))
     label, _, others, _ = local_clusters(x, radius, 2)
+    alone = pdf.loc[others == 0, ["id", "vec"]].assign(dim=dim, whole=False, size=0)
     rows = np.flatnonzero((label >= 0) & (others > 0))
     rows = rows[np.argsort(label[rows], kind="stable")]
-    out = pdf.iloc[rows][["id", "vec"]].assign(dim=dim, label=(dim << 44) + (task << 22) + label[rows])
+    out = pdf.iloc[rows][["id", "vec"]].assign(dim=dim, label=(int(again) << 60) + (dim << 44) + (task << 22) + label[rows])
     middle, ask = np.full(len(rows), None, object), np.full(len(rows), None, object)
     far, whole, size = np.zeros(len(rows)), np.zeros(len(rows), bool), np.zeros(len(rows), int)
     if len(rows):
@@ -180,13 +182,16 @@ def _groups(key: tuple, pdf: pd.DataFrame, radius: float, cells: dict[int, tuple
             r, cell = np.nonzero(c >= c.max(1)[:, None] - margin)
             asked.append(np.unique(of[some[r]] * len(pivots) + cell))
         asked = np.unique(np.concatenate(asked)) if asked else np.array([], int)
-        asked = asked[asked % len(pivots) != cell_of[task]]
+        if not again:
+            asked = asked[asked % len(pivots) != cell_of[task]]
         ends = np.searchsorted(asked, np.arange(len(first) + 1) * len(pivots))
         for g in np.flatnonzero(every):
             middle[first[g]] = sums[g].tobytes()
             own = asked[ends[g] : ends[g + 1]] % len(pivots)
             ask[first[g]] = np.concatenate([np.arange(first_task[c], first_task[c] + blocks[c]) for c in own] or [np.array([], int)]).astype(np.int32)
-    return out.assign(whole=whole, size=size, middle=middle, far=far, ask=pd.Series(ask, index=out.index, dtype=object))
+    out = out.assign(whole=whole, size=size, middle=middle, far=far, ask=pd.Series(ask, index=out.index, dtype=object))
+    out = pd.concat([out, alone], ignore_index=True)
+    return out.assign(label=out["label"].astype("Int64"), **{c: out[c].astype(object).where(out[c].notna(), None) for c in ("middle", "ask")})
 
 
 _GROUPED = "id string, vec binary, dim int, label long, whole boolean, size int, middle binary, far double, ask array<int>"
@@ -230,12 +235,17 @@ def _linked(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
 def similar_groups(space: Space, radius: float, min_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, cluster) of the sets of at least min_size vectors with nothing similar outside, as far as these may be similar to each other; the sets (cluster, cluster_id: the smallest id, size, whole: true if their members are, null if that isn't known); and rows (id, dim, vec, cluster) of the members that weren't left out as copies."""
     home, first, n = route_home(space)
+    # no copies at first
+    near = {dim: replace(c, meet=-1.0, asking=c.blocks * 2.0 * CELL_ROWS) for dim, c in space.cells.items()}
     cells = {}
-    for dim, c in space.cells.items():
+    for dim, c in near.items():
         tasks = route_blocks(c, CELL_ROWS)[1]
         cells[dim] = (c.pivots, c.margin, c.blocks, first[dim], np.repeat(np.arange(len(tasks)), tasks))
-    grouped = route(space, CELL_ROWS).groupBy("dim", "task").applyInPandas(lambda key, pdf: _groups(key, pdf, radius, cells), _GROUPED)
+    grouped = route(replace(space, cells=near), CELL_ROWS).groupBy("dim", "task").applyInPandas(lambda key, pdf: _groups(key, pdf, radius, cells), _GROUPED)
     grouped = cut(grouped, "groups")
+    alone = grouped.where("label is null").select("id", "dim", F.xxhash64("vec").alias("h"), "vec")
+    again = route(replace(space, rows=alone), CELL_ROWS).groupBy("dim", "task").applyInPandas(lambda key, pdf: _groups(key, pdf, radius, cells, True), _GROUPED)
+    grouped = grouped.where("label is not null").unionByName(cut(again.where("label is not null"), "again"))
     asks = grouped.where("ask is not null").select("dim", F.explode("ask").alias("task"), F.lit(None).cast("string").alias("id"), F.col("middle").alias("vec"), "label", "far")
     both = home.withColumns({"label": F.lit(None).cast("long"), "far": F.lit(None).cast("double")}).unionByName(asks).repartition(max(1, n), "dim", "task")
     found = cut(both.groupBy("dim", "task").applyInPandas(_answer, "label long, id string, dim int, vec binary"), "found")
