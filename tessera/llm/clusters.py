@@ -151,12 +151,12 @@ def _apart(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
 
 
 def _groups(key: tuple, pdf: pd.DataFrame, radius: float, cells: dict[int, tuple], again: bool = False) -> pd.DataFrame:
-    """The groups of a task: rows of _GROUPED, and the vectors in none, without a label. again: the task is one of the second round, which doesn't have all rows of its cell. The first row of a group whose members are all similar has its middle, in bytes, the lowest cosine to it that something similar to a member can have, and the tasks to ask."""
+    """The groups of a task: rows of _GROUPED, and the vectors in none, with label -1. again: the task is one of the second round, which doesn't have all rows of its cell. The first row of a group whose members are all similar has its middle, in bytes, the lowest cosine to it that something similar to a member can have, and the tasks to ask."""
     dim, task = int(key[0]), int(key[1])
     pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
     x = unit(decode(pdf["vec"].tolist(), dim))
     label, _, others, _ = local_clusters(x, radius, 2)
-    alone = pdf.loc[others == 0, ["id", "vec"]].assign(dim=dim, whole=False, size=0)
+    alone = pdf.loc[others == 0, ["id", "vec"]].assign(dim=dim, label=-1, whole=False, size=0)
     rows = np.flatnonzero((label >= 0) & (others > 0))
     rows = rows[np.argsort(label[rows], kind="stable")]
     out = pdf.iloc[rows][["id", "vec"]].assign(dim=dim, label=(int(again) << 60) + (dim << 44) + (task << 22) + label[rows])
@@ -191,7 +191,7 @@ def _groups(key: tuple, pdf: pd.DataFrame, radius: float, cells: dict[int, tuple
             ask[first[g]] = np.concatenate([np.arange(first_task[c], first_task[c] + blocks[c]) for c in own] or [np.array([], int)]).astype(np.int32)
     out = out.assign(whole=whole, size=size, middle=middle, far=far, ask=pd.Series(ask, index=out.index, dtype=object))
     out = pd.concat([out, alone], ignore_index=True)
-    return out.assign(label=out["label"].astype("Int64"), **{c: out[c].astype(object).where(out[c].notna(), None) for c in ("middle", "ask")})
+    return out.assign(**{c: out[c].astype(object).where(out[c].notna(), None) for c in ("middle", "ask")})
 
 
 _GROUPED = "id string, vec binary, dim int, label long, whole boolean, size int, middle binary, far double, ask array<int>"
@@ -199,14 +199,14 @@ _GROUPED = "id string, vec binary, dim int, label long, whole boolean, size int,
 
 def _answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """label, id, dim, vec: the rows of a task that are near enough to the middle of each asking group."""
-    asks = pdf["label"].notna().to_numpy()
+    asks = pdf["label"].to_numpy() >= 0
     rows, asks = pdf[~asks], pdf[asks]
     found = {"label": [], "at": []}
     if len(rows) and len(asks):
         dim = int(key[0])
         x = unit(decode(rows["vec"].tolist(), dim)).astype(np.float32).T
         q = unit(np.frombuffer(b"".join(asks["vec"].tolist()), np.int8).reshape(-1, dim).astype(float)).astype(np.float32)
-        labels, far = asks["label"].to_numpy().astype(np.int64), asks["far"].to_numpy().astype(np.float32)
+        labels, far = asks["label"].to_numpy(), asks["far"].to_numpy().astype(np.float32)
         for a in range(0, len(q), 1024):
             i, j = np.nonzero(q[a : a + 1024] @ x >= far[a : a + 1024, None])
             found["label"].append(labels[a + i])
@@ -243,11 +243,11 @@ def similar_groups(space: Space, radius: float, min_size: int) -> tuple[DataFram
         cells[dim] = (c.pivots, c.margin, c.blocks, first[dim], np.repeat(np.arange(len(tasks)), tasks))
     grouped = route(replace(space, cells=near), CELL_ROWS).groupBy("dim", "task").applyInPandas(lambda key, pdf: _groups(key, pdf, radius, cells), _GROUPED)
     grouped = cut(grouped, "groups")
-    alone = grouped.where("label is null").select("id", "dim", F.xxhash64("vec").alias("h"), "vec")
+    alone = grouped.where("label < 0").select("id", "dim", F.xxhash64("vec").alias("h"), "vec")
     again = route(replace(space, rows=alone), CELL_ROWS).groupBy("dim", "task").applyInPandas(lambda key, pdf: _groups(key, pdf, radius, cells, True), _GROUPED)
-    grouped = grouped.where("label is not null").unionByName(cut(again.where("label is not null"), "again"))
+    grouped = grouped.where("label >= 0").unionByName(cut(again.where("label >= 0"), "again"))
     asks = grouped.where("ask is not null").select("dim", F.explode("ask").alias("task"), F.lit(None).cast("string").alias("id"), F.col("middle").alias("vec"), "label", "far")
-    both = home.withColumns({"label": F.lit(None).cast("long"), "far": F.lit(None).cast("double")}).unionByName(asks).repartition(max(1, n), "dim", "task")
+    both = home.withColumns({"label": F.lit(-1).cast("long"), "far": F.lit(None).cast("double")}).unionByName(asks).repartition(max(1, n), "dim", "task")
     found = cut(both.groupBy("dim", "task").applyInPandas(_answer, "label long, id string, dim int, vec binary"), "found")
     per = cut(found.groupBy("label").agg(F.ceil(F.count("*") / FOUND_ROWS).cast("int").alias("parts"), F.count("*").alias("n")), "asked")
     buckets = max(1, (per.agg(F.sum("n")).first()[0] or 0) // FOUND_ROWS)

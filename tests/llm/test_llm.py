@@ -290,6 +290,16 @@ def test_mutual_clusters_without_copies(spark, monkeypatch):
     assert sent and sent[0] < 2 * len(data)
 
 
+def test_labels_of_groups_are_exact():
+    # of the second round too, beside vectors in no group; doubles can't tell these labels apart
+    x = np.eye(8).repeat(2, 0)[:15].round(4)
+    pdf = clusters.pd.DataFrame({"id": [f"m{i:02d}" for i in range(15)], "vec": vec.encode(x).to_pylist()})
+    cells = {8: (np.eye(8, dtype=np.float32)[:2], 0.1, np.ones(2, int), np.arange(2), np.arange(2))}
+    out = clusters._groups((8, 1), pdf, 0.8, cells, True)
+    assert out["label"].dtype == np.int64
+    assert out["label"].tolist() == [(1 << 60) + (8 << 44) + (1 << 22) + 2 * (i // 2) for i in range(14)] + [-1]
+
+
 def test_typical_members(spark, monkeypatch):
     monkeypatch.setattr(clusters, "BLOCK_ROWS", 7)
     data = made_vectors(2)
